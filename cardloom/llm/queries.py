@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import round_trip
 from .html_extract import extract
 from .language_id import identify
+from .license_scan import scan
 from .media_ogg import media_columns
 from .packing import pack
 from .sharding import shard
@@ -42,6 +43,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
