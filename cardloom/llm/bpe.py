@@ -18,6 +18,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ class State:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000, most_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000, most_pairs: int = 600_000):
         self.ranks, self.most_states, self.most_pairs = ranks, most_states, most_pairs
         self.token = {i: t for t, i in ranks.items()}
         self.child: list[dict[int, int]] = [{}]
@@ -156,7 +157,7 @@ class Transducer:
 class Encoder:
     """Texts to ids. Words are kept with their ids; the memory is emptied when it is full."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 800_000):
         import regex
 
         self.fst, self.most_words = Transducer(ranks), most_words
@@ -269,12 +270,19 @@ class Decoder:
         return lost
 
 
+@lru_cache(2)
+def coders(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder]:
+    """One pair for each Python worker, which keeps its tables from task to task."""
+    ranks = load_ranks(ranks_path)
+    return Encoder(ranks, pattern), Decoder(ranks)
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Each text's number of ids, the SHA-256 of the decimal ids and that of the decoded bytes; with keep_ids the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(ranks_path)
-        encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
+        encoder, decoder = coders(ranks_path, pattern)
+        decoder.reset()
         decimal = [b"%d " % i for i in range(len(decoder.token))].__getitem__
         for batch in batches:
             for some in slices(batch):
