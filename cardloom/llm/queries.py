@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import round_trip
 from .fingerprints import fingerprint_documents
 from .html_extract import extract
+from .jaccard_join import jaccard_components
 from .language_id import identify
 from .license_scan import scan
 from .media_ogg import media_columns
@@ -44,6 +45,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
