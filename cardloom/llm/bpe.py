@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +29,8 @@ from .common import slices
 #: Code points that the pattern's \s stands for.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ROOT = 0
+UNRANKED = 1 << 62
+TAIL = 64  # bytes that may be read without settling tokens
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,15 +41,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """BPE by definition: join the neighbours of least rank, leftmost first, until none can be joined."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
+    rank = [ranks.get(a + b, UNRANKED) for a, b in zip(parts, parts[1:], strict=False)]
+    while rank:
+        best = min(rank)
+        if best == UNRANKED:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        i = rank.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del rank[i]
+        if i:
+            rank[i - 1] = ranks.get(parts[i - 1] + parts[i], UNRANKED)
+        if i < len(rank):
+            rank[i] = ranks.get(parts[i] + parts[i + 1], UNRANKED)
     return parts
 
 
@@ -76,7 +81,7 @@ class Transducer:
                     self.ends.append(-1)
                 node = nxt
             self.ends[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -92,12 +97,12 @@ class Transducer:
 
     def stable(self, left: int, right: int) -> bool:
         """Whether the two tokens come out again when their bytes are encoded together; left -1: whether right does."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 20 | right)
         if known is None:
             want = [self.token[right]] if left < 0 else [self.token[left], self.token[right]]
             if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
-            known = self.pairs[left, right] = merged(b"".join(want), self.ranks) == want
+            known = self.pairs[left << 20 | right] = merged(b"".join(want), self.ranks) == want
         return known
 
     def move(self, state: State, byte: int) -> tuple[tuple, State]:
@@ -108,9 +113,9 @@ class Transducer:
             node = child[node].get(byte)
             if node is None:
                 continue
+            left = path[-1] if path else root
             if here is None and (token := ends[node]) >= 0:
-                left = path[-1] if path else root
-                known = pairs.get((left, token))
+                known = pairs.get(left << 20 | token)
                 if known or known is None and self.stable(left, token):
                     here = (*path, token)
             if child[node]:
@@ -132,18 +137,58 @@ class Transducer:
         state.moves[byte] = step = (first, nxt)
         return step
 
-    def stream(self, data: Iterable[int]) -> Iterator[tuple]:
-        """Tokens of one piece, some at a time, as they are settled."""
+    def stream(self, data: bytes) -> Iterator[tuple | list]:
+        """Tokens of one piece, some at a time, as they are settled. Where a transition is missing, it is made; the rest of
+        a short piece is then read without making more, so that states are made only on ways that are used."""
         if len(self.states) > self.most_states:
             self._clear()
         state = self.start
-        for b in data:
+        for i, b in enumerate(data):
             step = state.moves.get(b)
-            out, state = step if step else self.move(state, b)
+            if step:
+                out, state = step
+                if out:
+                    yield out
+                continue
+            out, state = self.move(state, b)
             if out:
                 yield out
+            if len(data) - i <= TAIL:
+                yield self.tail(state, data[i + 1 :])
+                return
         yield state.rest
 
+    def tail(self, state: State, data: bytes) -> list[int]:
+        """What is left to emit after the state, if these are the last bytes: all guesses are followed to the end."""
+        child, ends, pairs = self.child, self.ends, self.pairs
+        guesses = []
+        for path, node in state.guesses:
+            chain, last = None, state.root
+            for token in path:
+                chain, last = (chain, token), token
+            guesses.append((chain, last, node))
+        for b in data:
+            open_, here = [], None
+            for chain, last, node in guesses:
+                node = child[node].get(b)
+                if node is None:
+                    continue
+                if here is None and (token := ends[node]) >= 0:
+                    known = pairs.get(last << 20 | token)
+                    if known or known is None and self.stable(last, token):
+                        here = ((chain, token), token, ROOT)
+                if child[node]:
+                    open_.append((chain, last, node))
+            if here is None:
+                raise ValueError(f"byte {b} is no token")
+            open_.append(here)
+            guesses = open_
+        chain, out = guesses[-1][0], []
+        while chain:
+            chain, token = chain
+            out.append(token)
+        return out[::-1]
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -170,11 +215,12 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         pieces = (self.split_ascii if text.isascii() else self.split)(text)
         known = self.words.get
-        found = [known(w) for w in pieces]
+        found = list(map(known, pieces))
         if None in found:
             if len(self.words) > self.most_words:
                 self.words.clear()
-            found = [known(w) or self._learn(w) for w in pieces]
+            for at in [i for i, f in enumerate(found) if f is None]:
+                found[at] = known(pieces[at]) or self._learn(pieces[at])
         return np.frombuffer(b"".join(found), "<u4")
 
     def _learn(self, word: str) -> bytes:
