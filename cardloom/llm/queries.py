@@ -14,6 +14,7 @@ from .html_extract import extract
 from .jaccard_join import jaccard_components
 from .language_id import identify
 from .license_scan import scan
+from .line_dedup import dedup_lines
 from .media_ogg import media_columns
 from .packing import pack
 from .sharding import shard
@@ -29,6 +30,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_deleted").alias("n_deleted"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256")
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 

@@ -1,12 +1,58 @@
-"""The corpus pipeline: stages that each filter, rewrite or pack the documents."""
+"""The corpus pipeline: every stage reads all that the one before it kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from cardloom.llm.common import written
+from cardloom.llm.jaccard_join import jaccard_components
+from cardloom.llm.language_id import accepted
+from cardloom.llm.line_dedup import dedup_lines
+from cardloom.llm.packing import pack
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; null texts and those without a letter go."""
+    return accepted(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks that an earlier one has; a document of which nothing is left goes."""
+    out = dedup_lines(docs).where((F.col("lines_deleted") == 0) | (F.col("lines_deleted") < F.col("lines_before")))
+    changed = F.col("lines_deleted") > 0
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id. Documents without words stay; of
+    rows that repeat a kept doc_id with the same text, one stays."""
+    near = jaccard_components(docs)
+    stays = near.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+    numbered = found.withColumn("__nth", F.row_number().over(same))
+    return numbered.where("__nth = 1 or doc_id is null").drop("__nth")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; the last stage."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language", language), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("packing", packing)]
+
+#: No stage can be told in SQL: classifiers, patience diff, tokenizers.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, name)
+    return docs
