@@ -2,17 +2,19 @@
 
 Equal sets are one class. Two classes link at Jaccard 0.8 or more, so they differ in at most H = floor(n / 4) elements
 for either's size n. Sizes fall into bands [2^b, 2^(b+1)); within a band the universe of hashes is cut into a fixed
-number of segments. A class emits a key for each of its first K = ceil(1.25 (H + 1)) + 1 segments that hold any of its
+number of segments. A class emits a key for each of its first K = ceil(1.6 (H + 1)) segments that hold any of its
 elements; a class whose partners may be in the band below emits keys there too. Of its keys, at most H can differ
 from a partner's that reaches as far, so a partner shares at least K - H of them. Sets of 4 to 7 elements differ by at most
 one element: they emit a key of the whole set and one for each set with one element less (one-deletion
 neighbourhood). Smaller sets link with equal ones only.
 
 Cost-based allocation: keys held by one class only cost nothing and rule out partners; a class with fewer than K - H
-shared keys has no partner to find. The others leave out their K - H - 1 most frequent keys, since a partner must share one
-of the rest. Classes that meet in these keys form families; the members of a family are verified against each other exactly,
-in blocks of BLOCK (a family of any size is whole, its blocks are separate tasks), and a block emits no more links than
-are needed to connect what it found.
+shared keys asks for no partner, and one that shares fewer keys with asking classes than any of these needs is
+no partner. Both rules are applied until they hardly remove anything. Classes that still ask leave out their K - H - 1 most
+frequent keys, since a partner must share one of the rest. Classes that meet in these keys form families; the members of a
+family are verified against each other exactly. A family of more than BLOCK is dealt into size classes (a partner is in the same or
+the next one) and blocks: a family of any size is whole, its pairs of blocks are separate tasks. A task emits no more links
+than are needed to connect what it found.
 
 Hashes have 64 bits. Texts are read whole, in slices; null texts and texts without words link with nothing. Repeated
 rows are in one class. A class of copies of any size sends its keys once for each task that reads it. Only doc_id
@@ -22,12 +24,12 @@ all keys are made with another seed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, slices, written
@@ -37,7 +39,7 @@ from .shingles import mix, set_hash, shingle_sets
 NUMERATOR, DENOMINATOR = 4, 5  # Jaccard 0.8
 SMALLEST, FIRST_BAND = 4, 3
 BLOCK = 512
-SEEDS = 8
+SEEDS, ROUNDS = 8, 6
 FLUSH = 1 << 20
 
 
@@ -47,8 +49,9 @@ def most_apart(n: int) -> int:
 
 
 def segments(band: int) -> int:
-    low = 1 << band
-    return max(128, int(2.5 * low / (2.0 if low < 512 else 2.4)))
+    """So many that H or fewer of them holding all elements is beyond chance, for up to 2.5 x 2^band elements, and so few that
+    they hold several elements each."""
+    return {3: 128, 4: 48, 5: 40}.get(band) or round(2.5 * (1 << band) / 2.9)
 
 
 def bands(n: int) -> list[int]:
@@ -73,7 +76,7 @@ def keys(h: np.ndarray, band: int, seed: int) -> tuple[np.ndarray, int]:
         h = np.sort(mix(h + np.uint64(seed)))
     at = ((h >> np.uint64(32)) * np.uint64(segments(band))) >> np.uint64(32)
     begins = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    most = -(-5 * (apart + 1) // 4) + 1
+    most = -(-8 * (apart + 1) // 5)
     if len(begins) <= apart:
         return np.zeros(0, np.uint64), 0
     end = begins[most] if len(begins) > most else n
@@ -218,6 +221,44 @@ def _verify(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
+def peeled(rows: DataFrame) -> DataFrame:
+    """rows (key, cls, rank, need): those of classes that may still have a partner, with `asks` and how often the key stands."""
+    held = rows.groupBy("cls", "rank").agg(F.count("*").alias("held"), F.first("need").alias("least"))
+    asking = held.where("held >= least").select("cls", "rank", F.lit(True).alias("asks"))
+    marked = rows.select("key", "cls", "rank", "need").join(asking, ["cls", "rank"], "left")
+    by_key = marked.groupBy("key").agg(F.count("*").alias("often"), F.min(F.when(F.col("asks"), F.col("need"))).alias("wanted")).where("often > 1 and wanted is not null")
+    kept = marked.join(by_key, "key")
+    able = kept.groupBy("cls", "rank").agg(F.count("*").alias("held"), F.first("need").alias("least"), F.min("wanted").alias("wanted"))
+    able = able.where("held >= least or held >= wanted").select("cls", "rank", (F.col("held") >= F.col("least")).alias("still"))
+    return kept.join(able, ["cls", "rank"]).select("key", "cls", "rank", "need", "often", (F.coalesce("asks", F.lit(False)) & F.col("still")).alias("asks"))
+
+
+def dealt_families(member: DataFrame) -> DataFrame:
+    """member (cls, rep, n, family): cls, rep, family, and for each task that the class takes part in its name `at` and side."""
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
+    cell = member.withColumn("step", step)
+    sizes = cell.groupBy("family", "step").agg(F.count("*").alias("many"))
+    whole = sizes.groupBy("family").agg(F.sum("many").alias("all"))
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    count = sizes.select("family", "step", blocks.alias("own"))
+    near = lambda by, name: count.select("family", (F.col("step") + by).alias("step"), F.col("own").alias(name))
+    known = cell.join(whole, "family").join(count, ["family", "step"]).join(near(-1, "above"), ["family", "step"], "left").join(near(1, "below"), ["family", "step"], "left")
+    block = F.pmod(F.xxhash64("cls"), F.col("own")).cast("int")
+
+    def rows(others: str, low: Column, first: Column, second: Callable[[Column], tuple[Column, Column]], side: Callable[[Column], Column]) -> Column:
+        n = F.coalesce(others, F.lit(0))
+        name = lambda o: F.struct(F.concat_ws(":", low, first, *second(o)).alias("at"), side(o).alias("side"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), name)).otherwise(F.array().cast("array<struct<at:string,side:int>>"))
+
+    text = lambda c: c.cast("string")
+    same = rows("own", text(F.col("step")), F.lit("="), lambda o: (text(F.least(F.col("block"), o)), text(F.greatest(F.col("block"), o))), lambda o: (F.col("block") > o).cast("int"))
+    up = rows("above", text(F.col("step")), F.lit("+"), lambda o: (text(F.col("block")), text(o)), lambda o: F.lit(0))
+    down = rows("below", text(F.col("step") - 1), F.lit("+"), lambda o: (text(o), text(F.col("block"))), lambda o: F.lit(1))
+    alone = F.array(F.struct(F.lit("all").alias("at"), F.lit(0).alias("side")))
+    tasks = F.when(F.col("all") <= BLOCK, alone).otherwise(F.concat(same, up, down))
+    return known.withColumn("block", block).select("cls", "rep", "family", F.explode(tasks).alias("t")).select("cls", "rep", "family", "t.at", "t.side")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach; n_links as found."""
     spark = docs.sparkSession
@@ -235,23 +276,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = written(shared, "shared")
 
     need = classes.select("cls", F.posexplode("needs").alias("rank", "need"))
-    counted = shared.groupBy("cls", "rank").agg(F.count("*").alias("held")).join(need, ["cls", "rank"])
-    asking = counted.where("held >= need").select("cls", "rank", "need", "held")
+    rows = shared.join(need, ["cls", "rank"])
+    count = None
+    for _ in range(ROUNDS):
+        rows = written(peeled(rows), "peeled")
+        before, count = count, rows.count()
+        if not count or before is not None and count > 0.9 * before:
+            break
     costly = Window.partitionBy("cls", "rank").orderBy(F.desc("often"), "key")
-    probes = shared.join(asking, ["cls", "rank"]).withColumn("place", F.row_number().over(costly)).where("place >= need")
-    asked = probes.select("key").distinct()
-    met = written(shared.join(asked, "key").select("key", "cls"), "met")
+    probes = rows.where("asks").withColumn("place", F.row_number().over(costly)).where("place >= need")
+    met = written(rows.join(probes.select("key").distinct(), "key").select("key", "cls"), "met")
     leader = met.groupBy("key").agg(F.min("cls").alias("a"))
     families = components(met.join(leader, "key").select("a", F.col("cls").alias("b")))
 
-    member = families.join(classes.select("cls", "rep", "n"), families["node"] == F.col("cls")).select("cls", "rep", "n", F.col("root").alias("family"))
-    member = written(member, "members")
-    size = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = member.join(size, "family").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    row = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
-    placed = block.select("cls", "rep", "family", F.explode(row).alias("at")).select("cls", "rep", "family", "at.*")
-    texts = docs.join(placed.select("rep", "cls", "family", "i", "j", "side"), docs["doc_id"].eqNullSafe(F.col("rep"))).select("cls", "family", "i", "j", "side", "text")
-    found = written(texts.groupBy("family", "i", "j").applyInArrow(_verify, "a long, b long"), "links")
+    member = families.join(classes.select("cls", "rep", "n"), families["node"] == F.col("cls"))
+    placed = written(dealt_families(member.select("cls", "rep", "n", F.col("root").alias("family"))), "members")
+    texts = docs.join(placed, docs["doc_id"].eqNullSafe(F.col("rep"))).select("cls", "family", "at", "side", "text")
+    found = written(texts.groupBy("family", "at").applyInArrow(_verify, "a long, b long"), "links")
 
     roots = components(found)
     linked = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
