@@ -291,7 +291,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     member = families.join(classes.select("cls", "rep", "n"), families["node"] == F.col("cls"))
     placed = written(dealt_families(member.select("cls", "rep", "n", F.col("root").alias("family"))), "members")
-    texts = docs.join(placed, docs["doc_id"].eqNullSafe(F.col("rep"))).select("cls", "family", "at", "side", "text")
+    # a merge join at every size: the classes in families grow with the documents
+    texts = docs.join(placed.hint("merge"), docs["doc_id"].eqNullSafe(F.col("rep"))).select("cls", "family", "at", "side", "text")
     found = written(texts.groupBy("family", "at").applyInArrow(_verify, "a long, b long"), "links")
 
     roots = components(found)

@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows that repeat a kept doc_id with the same text, one stays."""
     near = jaccard_components(docs)
     stays = near.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    found = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
     numbered = found.withColumn("__nth", F.row_number().over(same))
     return numbered.where("__nth = 1 or doc_id is null").drop("__nth")
