@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS: list = []
+from cardloom.plans import cards, documents, events, vectors
+
+PLANS = [documents, vectors, cards, events]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
