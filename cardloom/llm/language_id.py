@@ -73,9 +73,9 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def framed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one buffer, a space before, between and after them, and where each begins (at its space)."""
-    data = np.frombuffer(b" " + b" ".join(texts) + b"  ", np.uint8)
-    return data, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    """All texts in one buffer, each behind two spaces, so that its n-grams see no other text, and where each begins (at its spaces)."""
+    data = np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8)
+    return data, np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])]).astype(np.int64)
 
 
 @dataclass
