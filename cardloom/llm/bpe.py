@@ -6,7 +6,7 @@ reads its bytes along a trie; determinising it keeps, for a prefix read so far,
 a path of tokens from the last settled boundary and a trie node. One of them always stands at a boundary: the
 encoding of the prefix itself. What all open guesses share is settled and is emitted, so a token is out once its
 rivals have died, at most the longest token's length later. States and transitions are made when first met and
-kept in a table of bounded size; a full table is emptied, which costs time, not results.
+kept in a table of bounded size; when it is full, transitions that are missing are made anew each time.
 
 A piece that is a token as a whole is emitted as such, as rank-based encoders do.
 Null and empty texts have no ids. Rows are handled one by one; only doc_id and text are read.
@@ -56,6 +56,26 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+def stands(left: bytes, right: bytes, ranks: dict[bytes, int]) -> bool:
+    """merged(left + right) == [left, right], given up at the first merge that crosses the boundary."""
+    parts = [left[i : i + 1] for i in range(len(left))] + [right[i : i + 1] for i in range(len(right))]
+    rank = [ranks.get(a + b, UNRANKED) for a, b in zip(parts, parts[1:], strict=False)]
+    border = len(left) - 1
+    while True:
+        best = min(rank)
+        i = rank.index(best)
+        if best == UNRANKED or i == border:
+            return best == UNRANKED and len(parts) == 2
+        if i < border:
+            border -= 1
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del rank[i]
+        if i:
+            rank[i - 1] = ranks.get(parts[i - 1] + parts[i], UNRANKED)
+        if i < len(rank):
+            rank[i] = ranks.get(parts[i] + parts[i + 1], UNRANKED)
+
+
 class State:
     __slots__ = ("guesses", "moves", "rest", "root")
 
@@ -66,7 +86,7 @@ class State:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000, most_pairs: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000, most_pairs: int = 600_000):
         self.ranks, self.most_states, self.most_pairs = ranks, most_states, most_pairs
         self.token = {i: t for t, i in ranks.items()}
         self.child: list[dict[int, int]] = [{}]
@@ -82,9 +102,6 @@ class Transducer:
                 node = nxt
             self.ends[node] = i
         self.pairs: dict[int, bool] = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.states: dict[tuple, State] = {}
         self.start = self._state(-1, (((), ROOT),))
 
@@ -92,17 +109,22 @@ class Transducer:
         key = (root, guesses)
         s = self.states.get(key)
         if s is None:
-            s = self.states[key] = State(root, guesses)  # the last guess is the boundary
+            s = State(root, guesses)
+            if len(self.states) < self.most_states:
+                self.states[key] = s
         return s
 
     def stable(self, left: int, right: int) -> bool:
         """Whether the two tokens come out again when their bytes are encoded together; left -1: whether right does."""
         known = self.pairs.get(left << 20 | right)
         if known is None:
-            want = [self.token[right]] if left < 0 else [self.token[left], self.token[right]]
             if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
-            known = self.pairs[left << 20 | right] = merged(b"".join(want), self.ranks) == want
+            if left < 0:
+                known = merged(self.token[right], self.ranks) == [self.token[right]]
+            else:
+                known = stands(self.token[left], self.token[right], self.ranks)
+            self.pairs[left << 20 | right] = known
         return known
 
     def move(self, state: State, byte: int) -> tuple[tuple, State]:
@@ -134,15 +156,14 @@ class Transducer:
             nxt = self._state(first[-1], tuple([(path[n:], node) for path, node in guesses]))
         else:
             nxt = self._state(root, tuple(guesses))
-        state.moves[byte] = step = (first, nxt)
-        return step
+        if len(self.states) < self.most_states:
+            state.moves[byte] = (first, nxt)
+        return first, nxt
 
     def stream(self, data: bytes) -> Iterator[tuple | list]:
         """Tokens of one piece, some at a time, as they are settled. Where a transition is missing, it is made; the rest of
         a short piece is then read without making more, so that states are made only on ways that are used."""
-        if len(self.states) > self.most_states:
-            self._clear()
-        state = self.start
+        state, full = self.start, len(self.states) >= self.most_states
         for i, b in enumerate(data):
             step = state.moves.get(b)
             if step:
@@ -150,12 +171,18 @@ class Transducer:
                 if out:
                     yield out
                 continue
-            out, state = self.move(state, b)
-            if out:
-                yield out
-            if len(data) - i <= TAIL:
-                yield self.tail(state, data[i + 1 :])
-                return
+            if len(data) - i > TAIL:
+                out, state = self.move(state, b)
+                if out:
+                    yield out
+                continue
+            if not full:
+                out, state = self.move(state, b)
+                if out:
+                    yield out
+                i += 1  # noqa: PLW2901
+            yield self.tail(state, data[i:])
+            return
         yield state.rest
 
     def tail(self, state: State, data: bytes) -> list[int]:
@@ -202,7 +229,7 @@ class Transducer:
 class Encoder:
     """Texts to ids. Words are kept with their ids; the memory is emptied when it is full."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 800_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 1_500_000):
         import regex
 
         self.fst, self.most_words = Transducer(ranks), most_words
