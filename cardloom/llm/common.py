@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 
@@ -52,3 +53,14 @@ def sizes(texts: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
     return np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
+
+
+SALTS = 16
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
+    """many joined with few, which has a row for each key: rows of a key that is very frequent in many are dealt out by another
+    column, few is repeated for each share. The shuffles stand right below the join, so adaptive execution can split more."""
+    left = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "__salt"]).drop("__salt")

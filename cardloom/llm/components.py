@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps, as DataFrame joins.
 
 Every round is written to the shared folder, so it cuts the lineage and a lost executor costs one task. A node with
-very many links is aggregated before the shuffle, and the joins on it are ones that adaptive execution splits.
+very many links is aggregated before the shuffle, and its rows are salted in the joins.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import salted_join, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         seen = mark
         both = stars.union(stars.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+        small = salted_join(large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
         stars = written(small, "stars")

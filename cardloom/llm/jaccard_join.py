@@ -40,7 +40,7 @@ NUMERATOR, DENOMINATOR = 4, 5  # Jaccard 0.8
 SMALLEST, FIRST_BAND = 4, 3
 BLOCK = 512
 SEEDS, ROUNDS = 8, 6
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def most_apart(n: int) -> int:

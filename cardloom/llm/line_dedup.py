@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import salted_join, written
 
 RARE, BLOCK_WORDS, LEAST_WORDS = 32, 20, 4
 LAST = (1 << 63) - 1
@@ -130,7 +130,7 @@ def deletions(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS)
     held = line.union(whole)
     first = held.groupBy("line").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"), F.max("words").alias("words"))
     seeds = first.where("first < last").where((F.col("n") <= rare) | (F.col("words") >= block_words)).select("line", "first")
-    pairs = held.select("k", "line").join(seeds, "line").where("k <> first").select("first", "k").distinct()
+    pairs = salted_join(held.select("k", "line"), seeds, "line", "k").where("k <> first").select("first", "k").distinct()
 
     one = Window.partitionBy("k").orderBy("h")
     holders = outline.join(pairs.select(F.col("first").alias("k")).distinct(), "k", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")

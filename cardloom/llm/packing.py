@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-WINDOW, OPEN, MIN_CUT, FAN_IN = 2048, 32, 16, 64
+WINDOW, OPEN, MIN_CUT, FAN_IN = 2048, 32, 16, 8
 END_ID = 1
 
 
