@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.text import collapse
 
+from .sampling import numbered, shuffled
+
 CONTENT = "array<struct<type:string,text:string,image:string,audio:string>>"
 BAND = (0.75, 0.92)
 BAND_RULE, BAND_MINER = "v1-inband-0.75-0.92", "teacher-band-v1"
@@ -114,8 +116,8 @@ def filled(queries: DataFrame, mined: DataFrame, pool: DataFrame, k: int = 8, se
     """Pads each query's mined negatives (card_id, neg_id, rank) to k with cards of the pool (card_id), in a hashed order that starts
     at a place of the query's own: a ring, so k neighbours are looked at and never all pairs."""
     n = pool.count()
-    order = F.row_number().over(Window.orderBy(F.sha1(F.concat_ws(":", F.lit(seed), F.col("card_id").cast("string"))), "card_id")) - 1
-    ring = pool.select(F.col("card_id").alias("neg_id"), order.alias("place"))
+    hashed = pool.select(F.col("card_id").alias("neg_id"), F.xxhash64(F.lit(seed), F.lit("ring"), "card_id").alias("__hash"))
+    ring = numbered(hashed, "__hash", "place").select("neg_id", "place")
     start = F.pmod(F.xxhash64(F.lit(seed), "card_id"), F.lit(max(n, 1)))
     asked = queries.select("card_id", F.explode(F.sequence(F.lit(0), F.lit(min(n, 2 * k + 1) - 1))).alias("step"), start.alias("start")).withColumn("place", (F.col("start") + F.col("step")) % max(n, 1))
     offered = asked.join(ring, "place").where("neg_id <> card_id").join(mined.select("card_id", "neg_id"), ["card_id", "neg_id"], "left_anti")
@@ -165,8 +167,6 @@ def mix_by_tokens(lanes: DataFrame, budget: float) -> DataFrame:
 def grouped_bins(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
     """Bins of `size` rows along shuffled groups: the running count decides, so a group may straddle two bins. The order is one key:
     the group's hash and the row's."""
-    from .sampling import numbered, shuffled
-
     keyed = rows.withColumn("__order", F.concat(shuffled(F.col(group)), F.lit(":"), F.format_string("%020d", F.col(order).cast("long"))))
     code = F.conv(F.substring(F.sha1(F.col(group).cast("string")), 1, 6), 16, 10).cast("long")
     placed = keyed.withColumn("__key", code * (1 << 36) + F.col(order).cast("long"))
