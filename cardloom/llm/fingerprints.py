@@ -25,12 +25,14 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.operators.sampling import ranges
+
 from .common import partitions, written
 
 RADIUS, KEEP = 4, 2
 BITS, LONG = 128, 8
 QUERY_EVERY = 50
-QUANTILES, LEAST_KEY = 128, -(1 << 63)
+LEAST_KEY = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
@@ -77,33 +79,11 @@ def likeness(differing: Column) -> Column:
     return F.when(differing == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.cos(differing * F.lit(pi / BITS))))
 
 
-def _ranges(docs: DataFrame) -> Column:
-    """A range number for column `k`, ascending with it: quantiles, and equal widths between two of them."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    known = docs.select(F.percentile_approx("k", [i / QUANTILES for i in range(QUANTILES + 1)], 10 * QUANTILES)).first()[0]
-    cuts = sorted(set(known or [0]))
-    inner = max(1, -(-4 * parts // QUANTILES))
-
-    def leaf(i: int) -> Column:
-        low, high = cuts[i], cuts[min(i + 1, len(cuts) - 1)]
-        step = F.floor((F.col("k").cast("double") - low) * (inner / max(float(high) - float(low), 1.0))).cast("long")
-        return F.lit(i * inner).cast("long") + F.greatest(F.lit(0).cast("long"), F.least(step, F.lit(inner - 1).cast("long")))
-
-    def tree(low: int, high: int) -> Column:
-        if high - low == 1:
-            return leaf(low)
-        mid = (low + high) // 2
-        return F.when(F.col("k") < F.lit(cuts[mid]), tree(low, mid)).otherwise(tree(mid, high))
-
-    return tree(0, len(cuts))
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text and the row's place: part, place; rows with late = 1 repeat another range's first row."""
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LEAST_KEY)).cast("long").alias("k"))
-    d = d.withColumn("part", _ranges(docs.select(F.coalesce("doc_id", F.lit(LEAST_KEY)).cast("long").alias("k"))))
+    d = d.withColumn("part", ranges(d.select("k"), "k", 4 * partitions(spark)))
     tops = sorted((r["part"], r["top"]) for r in d.groupBy("part").agg(F.max("k").alias("top")).collect())  # a row for each range
     sent = [(top, tops[i + 1][0] if i + 1 < len(tops) else tops[0][0]) for i, (_, top) in enumerate(tops)]
     ghosts = F.broadcast(spark.createDataFrame(sent, "k long, to long"))  # a row for each range

@@ -16,6 +16,7 @@ from .language_id import identify
 from .license_scan import scan
 from .line_dedup import dedup_lines
 from .media_ogg import media_columns
+from .oracles import JACCARD, licenses
 from .packing import pack
 from .sharding import shard
 
@@ -74,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_jaccard": JACCARD, "op9_licenses": licenses()}
