@@ -134,7 +134,7 @@ def deletions(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS)
 
     one = Window.partitionBy("k").orderBy("h")
     holders = outline.join(pairs.select(F.col("first").alias("k")).distinct(), "k", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
-    both = pairs.join(holders.select(F.col("k").alias("first"), F.col("lines").alias("earlier")), "first").join(outline, "k").select("k", "h", "earlier", "lines", "words")
+    both = salted_join(pairs, holders.select(F.col("k").alias("first"), F.col("lines").alias("earlier")), "first", "k").join(outline, "k").select("k", "h", "earlier", "lines", "words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
