@@ -13,6 +13,7 @@ from cardloom.functions.text import collapse
 from .sampling import numbered, shuffled
 
 CONTENT = "array<struct<type:string,text:string,image:string,audio:string>>"
+#: The band of near misses and the names that its negatives carry.
 BAND = (0.75, 0.92)
 BAND_RULE, BAND_MINER = "v1-inband-0.75-0.92", "teacher-band-v1"
 INSTRUCTION = "Retrieve the matching description."
