@@ -150,6 +150,25 @@ def resolved(refs: DataFrame, views: DataFrame, fallback: str = "text") -> DataF
     return got.withColumn("view", F.when(F.col("content").isNull(), fallback).otherwise(F.col("view"))).withColumn("content", F.coalesce("content", "spare")).drop("spare")
 
 
+def content_of(inline: Column, by_name: Column, card: Column, view: Column) -> Column:
+    """Content of a reference in either layout: in the reference itself, or in the sample's map under card/view."""
+    return F.coalesce(inline, by_name[F.concat_ws("/", card, view)])
+
+
+def resolved_map(views: DataFrame, key: str) -> DataFrame:
+    """The second layout: one map of card/view to content for each value of the key, whose views are few."""
+    entry = F.struct(F.concat_ws("/", "card_id", "view").alias("name"), "content")
+    return views.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("resolved"))
+
+
+def materialized(items: Column, media: Column, most_chars: int = 4000) -> Column:
+    """Content with text cut to its first characters and media as bytes out of a map of member names."""
+    prefix = "member://"
+    name = lambda x: F.coalesce(x["image"], x["audio"])
+    data = lambda x: F.when(x["type"] != "text", media[F.substring(name(x), F.lit(len(prefix) + 1), F.length(name(x)))])
+    return F.transform(items, lambda x: F.struct(x["type"].alias("type"), F.left(x["text"], F.lit(most_chars)).alias("text"), data(x).alias("data")))
+
+
 def exposures(rows: DataFrame) -> DataFrame:
     """Resolved rows (exposure, lane, instruction, role, rank, card_id, view, content) to one row for each exposure; negatives in
     rank order. An exposure has a bounded number of rows."""

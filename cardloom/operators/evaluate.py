@@ -79,6 +79,12 @@ def lanes_ratchet(scores: DataFrame, order: str, lanes: list[str], epsilon: floa
     return folded.select(F.explode("r.rows").alias("x")).select("x.*")
 
 
+def flat_lines(scores: DataFrame, key: str, hour: str, value: str, least: float = 0.05, at: float = 36.0) -> DataFrame:
+    """Series whose best score is still below the least one at the hour by which they must have reached it."""
+    by = scores.groupBy(key).agg(F.max(F.when(F.col(hour) <= at, F.col(value))).alias("best"), F.max(hour).alias("last"))
+    return by.where((F.col("last") >= at) & (F.coalesce("best", F.lit(0.0)) < least)).select(key, "best")
+
+
 def ema_tripwire(losses: DataFrame, key: str, order: str, value: str, warm: int = 20, patience: int = 10, times: float = 3.0, plus: float = 2.0, keep: float = 0.98) -> DataFrame:
     """Moving average of each series at its end, and the first step at which the wire trips: a value that is no number, or
     `patience` steps in a row above times x average + plus. The first `warm` steps don't count as spikes."""

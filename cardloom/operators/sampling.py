@@ -53,6 +53,12 @@ def first_passing(df: DataFrame, keys: list[str], order: str, passed: Column, mo
     return seen.where((F.col("__passed") & (F.col("__n") <= most)) | (~F.col("__passed") & (F.col("__n") < most))).withColumn("taken", F.col("__passed")).drop("__passed", "__n")
 
 
+def first_then_gated(df: DataFrame, keys: list[str], order: str, most: int, gates: dict[str, Column]) -> DataFrame:
+    """The first rows of each key whether they pass or not; a view (column) whose gate fails is emptied, its row stays."""
+    rows = first_by(df, keys, [order], most)
+    return rows.withColumns({view: F.when(F.coalesce(passed, F.lit(False)), F.col(view)) for view, passed in gates.items()})
+
+
 QUANTILES = 128
 
 

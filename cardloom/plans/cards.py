@@ -73,6 +73,16 @@ def exposures_resolved(spark: SparkSession, d: str) -> DataFrame:
     return out.select("exposure", F.col("anchor.content")[0]["text"].alias("anchor"), F.col("positive.content")[0]["text"].alias("positive"), F.col("positive.view").alias("positive_view"), F.size("negatives").alias("n_negatives"), F.get("negatives", F.lit(0))["content"][0]["text"].alias("negative"))
 
 
+def content_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """The answer's content, in the reference for some cards and in the sample's map for the others, cut to its first characters."""
+    e = _exchanges(spark, d)
+    held = cards.resolved_map(e.select("conv_id", "card_id", F.lit("text-reply").alias("view"), cards.content(cards.item("text", F.col("said"))).alias("content")), "conv_id")
+    inline = F.when(F.col("turn") % 4 == 0, cards.content(cards.item("text", F.col("said"))))
+    got = e.join(held, "conv_id").select("card_id", cards.content_of(inline, F.col("resolved"), F.col("card_id"), F.lit("text-reply")).alias("c"))
+    said = cards.materialized(F.col("c"), F.create_map(F.lit("m"), F.lit(b"")), 100)
+    return got.select("card_id", said[0]["type"].alias("type"), said[0]["text"].alias("text"))
+
+
 def instruction_prefix(spark: SparkSession, d: str) -> DataFrame:
     e = _exchanges(spark, d).withColumn("instruction", F.when(F.col("turn") % 4 == 0, F.lit(cards.INSTRUCTION)))
     said = cards.with_instruction(cards.content(cards.item("text", F.col("asked"))), F.col("instruction"))
@@ -235,7 +245,7 @@ def media_types(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (content_arrays, modality_order, exposures_two_lane, exposures_resolved, instruction_prefix, restamp, positive_views, in_band_negatives, mined_negatives, random_fill, interleaved_views, validate_cards, referential_integrity, dup_ids, card_checks, media_check, manifest, lane_schedule, lane_cursor, replacements, token_costs, token_mix, kind_views, media_types)
+    for f in (content_arrays, modality_order, exposures_two_lane, exposures_resolved, content_layouts, instruction_prefix, restamp, positive_views, in_band_negatives, mined_negatives, random_fill, interleaved_views, validate_cards, referential_integrity, dup_ids, card_checks, media_check, manifest, lane_schedule, lane_cursor, replacements, token_costs, token_mix, kind_views, media_types)
 }
 
 _KIND = "['text', 'image', 'audio'][(turn * 7 + conv_id) % 3 + 1]"
@@ -248,6 +258,7 @@ ORACLES = {
     "modality_order": f"SELECT conv_id, list(r ORDER BY turn) = list_sort(list(r ORDER BY turn)) AS in_order FROM (SELECT conv_id, turn, list_position(['image', 'text', 'audio'], {_KIND}) AS r FROM conversations) GROUP BY conv_id",
     "exposures_two_lane": f"WITH {_EX} SELECT card_id, 'ask2say' AS lane, 'text' AS anchor, 'text-reply' AS positive FROM x UNION ALL SELECT card_id, 'say2ask', 'text-reply', 'text' FROM x",
     "exposures_resolved": f"WITH {_EX} SELECT x.card_id AS exposure, x.asked AS anchor, CASE WHEN x.turn % 4 = 0 THEN x.said ELSE x.asked END AS positive, CASE WHEN x.turn % 4 = 0 THEN 'text-reply' ELSE 'text' END AS positive_view, (y.card_id IS NOT NULL)::INT AS n_negatives, CASE WHEN y.turn % 4 = 0 THEN y.said ELSE y.asked END AS negative FROM x LEFT JOIN x y ON y.conv_id = x.conv_id + 1 AND y.turn = x.turn",
+    "content_layouts": f"WITH {_EX} SELECT card_id, 'text' AS type, left(said, 100) AS text FROM x",
     "instruction_prefix": f"WITH {_EX} SELECT card_id, CASE WHEN turn % 4 = 0 THEN 2 ELSE 1 END AS items, CASE WHEN turn % 4 = 0 THEN '{cards.INSTRUCTION}' ELSE asked END AS first FROM x",
     "restamp": f"WITH {_EX} SELECT card_id, ['qa_passage', 'title_doc', 'unheard_of'][conv_id % 3 + 1] AS task_type, ['{cards.INSTRUCTIONS['qa_passage']}', '{cards.INSTRUCTIONS['title_doc']}', 'old'][conv_id % 3 + 1] AS instruction FROM x",
     "positive_views": f"""WITH {_LINES}, e AS (SELECT doc_id, lang, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l)

@@ -108,6 +108,12 @@ def reject_and_advance(spark: SparkSession, d: str) -> DataFrame:
     return sampling.first_passing(_docs(spark, d), ["source"], "doc_id", ok, 3).select("doc_id", "source", "taken")
 
 
+def first_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The first documents of each source; a text of the wrong length is emptied, its row stays."""
+    rows = _docs(spark, d).select("doc_id", "source", T.collapse("text").alias("said"))
+    return sampling.first_then_gated(rows, ["source"], "doc_id", 5, {"said": F.length("said").between(LOW, HIGH)})
+
+
 def dense_ids(spark: SparkSession, d: str) -> DataFrame:
     rows = sampling.numbered(_docs(spark, d).select("doc_id", "lang"), "doc_id", "n", "lang")
     return rows.select("doc_id", F.format_string("%s-%07d", "lang", "n").alias("card"), sampling.dealt("n", 4).alias("worker"), sampling.binned("n", 128).alias("chunk"))
@@ -238,7 +244,7 @@ def model_queries(spark: SparkSession, d: str) -> DataFrame:
 _SAMPLE = "SELECT doc_id, source FROM documents WHERE {} {} {}"
 QUERIES = {
     f.__name__: f
-    for f in (ingest, clean_text, drop_reasons, len_bands, dedup_first, duplicate_groups, text_keys, hash_sample_lt, hash_sample_le, hash_sample_10000, hash_subset20, ordered_sample, stratified_cap, first_per_label, first_mid_last, reject_and_advance, dense_ids, grouped_bins, guard_anti_hash, guard_first_reason, decontaminate_substring, parse_pairs, rights_tiers, boilerplate, page_titles, page_queries_dedup, source_rollup, html_unescape, model_queries)
+    for f in (ingest, clean_text, drop_reasons, len_bands, dedup_first, duplicate_groups, text_keys, hash_sample_lt, hash_sample_le, hash_sample_10000, hash_subset20, ordered_sample, stratified_cap, first_per_label, first_mid_last, reject_and_advance, first_candidates, dense_ids, grouped_bins, guard_anti_hash, guard_first_reason, decontaminate_substring, parse_pairs, rights_tiers, boilerplate, page_titles, page_queries_dedup, source_rollup, html_unescape, model_queries)
 }
 
 _CLEAN = f"""WITH c AS (SELECT *, {collapse_sql('text')} AS s FROM documents), d AS (SELECT *, left(s, {HIGH}) AS cut FROM c),
@@ -267,6 +273,7 @@ ORACLES = {
     "first_mid_last": "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE i = 0 OR i = n // 2 OR i = n - 1",
     "reject_and_advance": f"""WITH p AS (SELECT *, length({collapse_sql('text')}) BETWEEN {LOW} AND {HIGH} AS ok FROM documents), q AS (SELECT *, sum(ok::INT) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS k FROM p)
  SELECT doc_id, source, ok AS taken FROM q WHERE (ok AND k <= 3) OR (NOT ok AND k < 3)""",
+    "first_candidates": f"SELECT doc_id, source, CASE WHEN length(s) BETWEEN {LOW} AND {HIGH} THEN s END AS said FROM (SELECT *, {collapse_sql('text')} AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5",
     "dense_ids": "SELECT doc_id, lang || '-' || lpad(n::VARCHAR, 7, '0') AS card, n % 4 AS worker, n // 128 AS chunk FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS n FROM documents)",
     "grouped_bins": "SELECT bin, source, count(*) AS n FROM (SELECT *, (row_number() OVER (ORDER BY left(sha1(source), 6), doc_id) - 1) // 100 AS bin FROM documents) GROUP BY ALL",
     "guard_anti_hash": f"SELECT doc_id, count(*) AS lines_left FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE {hash_sql('line')} NOT IN (SELECT {hash_sql('text')} FROM benchmark) GROUP BY doc_id",

@@ -39,6 +39,12 @@ def ema_tripwire(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.ema_tripwire(_events(spark, d), "event_type", "event_id", "value", patience=2, times=2.0, plus=0.0)
 
 
+def flat_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Users whose values stayed low for the first hours of the log."""
+    hours = (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01 00:00:00"))) / 3600.0
+    return evaluate.flat_lines(_events(spark, d).select("user_id", hours.alias("hour"), "value"), "user_id", "hour", "value", 40.0, 36.0)
+
+
 def retention(spark: SparkSession, d: str) -> DataFrame:
     saved = F.unix_timestamp(F.col("ts").cast("timestamp"))
     points = _events(spark, d).where("event_type = 'signup'").select(F.col("event_id").alias("step"), saved.alias("saved"), (F.col("event_id") % 100 == 0).alias("kept"))
@@ -122,7 +128,7 @@ def event_drops(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (dedup_last_wins, ratchet_fold, ratchet_lanes, ema_tripwire, retention, gate_rates, threshold_sweep, order_stat, resume_filter, ready_sources, event_sessions, stream_last_wins, speaker_bins, segment_rollup, line_totals, capped_parts, event_drops)
+    for f in (dedup_last_wins, ratchet_fold, ratchet_lanes, ema_tripwire, flat_lines, retention, gate_rates, threshold_sweep, order_stat, resume_filter, ready_sources, event_sessions, stream_last_wins, speaker_bins, segment_rollup, line_totals, capped_parts, event_drops)
 }
 
 _SCORES = "s AS (SELECT floor(epoch(ts) / 3600)::BIGINT AS step, round(avg(value), 4) AS score, round(max(value), 4) AS other FROM events GROUP BY 1)"
@@ -141,6 +147,7 @@ ORACLES = {
  UNION ALL SELECT o.i, o.step, o.score - b1 > 1.0 AND o.other - b2 > 1.0, CASE WHEN o.score - b1 > 1.0 AND o.other - b2 > 1.0 THEN o.score ELSE b1 END, CASE WHEN o.score - b1 > 1.0 AND o.other - b2 > 1.0 THEN o.other ELSE b2 END FROM r JOIN o ON o.i = r.i + 1)
  SELECT step, kept FROM r""",
     "ema_tripwire": f"SELECT event_type, round(z.ema, 4) AS ema, z.n AS steps, z.halt AS halt FROM (SELECT event_type, list_reduce(list_prepend({{'ema': NULL::DOUBLE, 'run': 0, 'n': 0, 'halt': NULL::INT, 'v': 0.0::DOUBLE}}, list({{'ema': NULL::DOUBLE, 'run': 0, 'n': 0, 'halt': NULL::INT, 'v': value}} ORDER BY event_id)), lambda a, x: {_EMA}) AS z FROM events GROUP BY event_type)",
+    "flat_lines": "SELECT user_id, best FROM (SELECT user_id, max(CASE WHEN h <= 36 THEN value END) AS best, max(h) AS last FROM (SELECT user_id, value, (floor(epoch(ts)) - epoch(TIMESTAMP '2024-01-01')) / 3600.0 AS h FROM events) GROUP BY user_id) WHERE last >= 36 AND coalesce(best, 0) < 40",
     "retention": "SELECT step FROM (SELECT event_id AS step, event_id % 100 = 0 AS kept, row_number() OVER (ORDER BY event_id DESC) AS new, row_number() OVER (PARTITION BY floor(epoch(ts) / 43200) ORDER BY event_id) AS old FROM events WHERE event_type = 'signup') WHERE new <= 3 OR kept OR old = 1",
     "gate_rates": "SELECT lang, count(*) AS n, sum((quality = 1 AND toxic = 0)::BIGINT)::BIGINT AS passed, round(avg((quality = 1 AND toxic = 0)::INT), 4) AS rate FROM labels JOIN documents USING (doc_id) GROUP BY lang",
     "threshold_sweep": "SELECT event_type, threshold, count(*) AS n, sum((value <= threshold)::BIGINT)::BIGINT AS passed, round(avg((value <= threshold)::INT), 4) AS rate FROM events, (SELECT unnest([5.0, 10.0, 50.0, 100.0])::DOUBLE AS threshold) GROUP BY ALL",
