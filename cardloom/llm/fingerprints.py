@@ -84,9 +84,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LEAST_KEY)).cast("long").alias("k"))
     d = d.withColumn("part", ranges(d.select("k"), "k", 4 * partitions(spark)))
-    tops = sorted((r["part"], r["top"]) for r in d.groupBy("part").agg(F.max("k").alias("top")).collect())  # a row for each range
-    sent = [(top, tops[i + 1][0] if i + 1 < len(tops) else tops[0][0]) for i, (_, top) in enumerate(tops)]
-    ghosts = F.broadcast(spark.createDataFrame(sent, "k long, to long"))  # a row for each range
+    up = Window.orderBy("part")  # over a row for each range
+    tops = d.groupBy("part").agg(F.max("k").alias("top"))
+    ghosts = F.broadcast(tops.select(F.col("top").alias("k"), F.coalesce(F.lead("part").over(up), F.first("part").over(up)).alias("to")))
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("late"))
     again = F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("part"), F.lit(1).alias("late")))
     dealt = d.join(ghosts, "k", "left").select("doc_id", "text", "k", F.explode(F.array_compact(F.array(own, again))).alias("at"))

@@ -66,7 +66,7 @@ def needed(n: int, containment: float) -> int:
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How often each word of the templates occurs in all documents."""
-    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string"))  # the templates' words only
+    known = F.broadcast(docs.sparkSession.range(1).select(F.explode(_strings(vocabulary)).alias("word")))  # the templates' words only
     said = docs.select(F.explode(F.split(F.regexp_replace(lowered(F.col("text")), NO_WORD, " "), " ")).alias("word"))
     return {r["word"]: r["n"] for r in said.join(known, "word").groupBy("word").agg(F.count("*").alias("n")).collect()}
 
