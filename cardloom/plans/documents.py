@@ -147,10 +147,11 @@ def decontaminate_substring(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a whole benchmark item. Pairs come from the item's first words, so no document meets all items."""
     flat = lambda c: F.split(F.replace(c, F.lit("\n"), F.lit(" ")), " ")
     items = table(spark, d, "benchmark").select("item_id", "text", *[F.get(flat("text"), F.lit(i)).alias(f"w{i}") for i in range(3)])
-    docs = _docs(spark, d).select("doc_id", F.col("text").alias("body"), flat("text").alias("w"))
+    docs = _docs(spark, d)
     starts = F.arrays_zip(*[F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in range(3)])
-    placed = docs.select("doc_id", "body", F.explode(F.array_distinct(starts)).alias("s")).select("doc_id", "body", "s.*")
-    return placed.join(items, ["w0", "w1", "w2"]).where(F.contains("body", "text")).groupBy("doc_id").agg(F.countDistinct("item_id").alias("items"))
+    placed = docs.select("doc_id", flat("text").alias("w")).select("doc_id", F.explode(starts).alias("s")).select("doc_id", "s.*")
+    asked = placed.join(items, ["w0", "w1", "w2"]).select("doc_id", "item_id", F.col("text").alias("item")).distinct()
+    return docs.select("doc_id", "text").join(asked, "doc_id").where(F.contains("text", "item")).groupBy("doc_id").agg(F.countDistinct("item_id").alias("items"))
 
 
 #: For each parser, what stands before the text in a query.
