@@ -40,4 +40,13 @@ PAGES = [
     """<html><body class="site page"><div class="site-header header"><h1>The garden page</h1></div><div class="site-content page-wrapper row column right user-content widget-area" keep><h3>Pruning in March</h3>
 <p>Cut roses back to a bud that looks outwards and take away all the dead wood you can find.</p><h4>Tools</h4><p>A sharp knife and a saw will do for nearly everything in a small garden.</p></div>
 <div class="comment-list"><p>My roses never came back after that, sadly.</p></div><div class="site-footer">Made at home</div></body></html>""",
+    """<html><body><div role="banner"><a href="/">The observer</a> All that is new in town</div><div role="navigation"><a href="/1">One</a></div>
+<div role="main" class="container" keep><p>The library opens again after a long winter of repairs to its roof.</p><p>Readers will find the old tables and quite a few new lamps.</p></div>
+<div role="complementary" class="sponsor sponsors"><p>Popular this week: the list of lists, and a word from those who pay for it.</p></div>
+<div class="tags tag-list"><p>Filed under: libraries, winter, roofs, tables and lamps</p></div><div class="pagination pager"><a href="/2">Next page</a> of many more pages to come</div>
+<div class="author-bio about-author"><p>She writes about books and about the people who read them.</p></div><div role="contentinfo"><p>Address and telephone number of the office in town</p></div>
+<div role="search"><form><label>Find in all issues of the paper</label></form></div></body></html>""",
+    """<html><body><div class="toc sidebar-nav"><p>On this page: first part, second part, sources and notes</p></div><div class="page-content author-text about" keep><p>A lamp needs oil, a wick and somebody who remembers to light it.</p>
+<p>Most of all it needs a room that would be dark without it.</p></div><div class="skip-link skip"><a href="#c">Skip to the content of this page</a></div><div class="login signup account"><p>Log in or make an account to read on.</p></div>
+<div class="feedback survey rating"><p>Was this page of any help to you? Tell us.</p></div><div class="print-only consent gdpr"><p>We and our partners store data on your device.</p></div></body></html>""",
 ]
