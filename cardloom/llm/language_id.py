@@ -179,9 +179,12 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The columns of docs with lang_pred, score and ambiguous; names that clash are replaced."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+PREDICTED = ("lang_pred", "score", "ambiguous")
+
+
+def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = PREDICTED) -> DataFrame:
+    """The columns of docs with language, score and ambiguity under the names; columns of docs with these names are replaced."""
+    keep = [c for c in docs.columns if c not in names]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # N_FEATURES x bits numbers, whatever the input
 
@@ -195,10 +198,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if known:
                     best, top, second = m.decide(m.margins([texts[i].encode() for i in known]))
                     lang[known], score[known], close[known] = np.array(m.langs, object)[best], top, top - second < CLOSE
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(close)], [*keep, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(close)], [*keep, *names])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, own + ", lang_pred string, score double, ambiguous boolean")
+    made = ", ".join(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True))
+    return docs.mapInArrow(run, f"{own}, {made}")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -212,4 +216,5 @@ def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents whose language can be told, with their own columns only: `und` goes, an ambiguous one stays,
     as mixed or short texts are no fault."""
     model = learn(docs.where(F.coalesce(remainder() != 1, F.lit(True))), sample)
-    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    said = predict(docs, model, tuple(f"__{n}" for n in PREDICTED))
+    return said.where(F.col("__lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])

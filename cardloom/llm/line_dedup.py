@@ -150,10 +150,13 @@ def deletions(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS)
     return lost.groupBy("k", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))  # at most a list for each line of the document
 
 
-def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents with new text, and lines_before, lines_deleted long; names that clash are replaced."""
+COUNTS = ("lines_before", "lines_deleted")
+
+
+def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS, names: tuple[str, str] = COUNTS) -> DataFrame:
+    """The documents with new text, and how many lines each had and lost under the names; columns with these names are replaced."""
     lost = written(deletions(docs.select("doc_id", "text"), rare, block_words), "deleted_lines")
-    keep = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("text", "lines_before", "lines_deleted")]
+    keep = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("text", *names)]
     k, h = _place()
     d = docs.withColumns({"__k": k, "__h": h}).alias("d")
     # a merge join at every size: the losses grow with the documents
@@ -162,5 +165,5 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORD
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("g.gone"), i))
     return joined.select(
         *keep, F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size(lines).cast("long").alias("lines_before"), F.coalesce(F.array_size("g.gone"), F.lit(0)).cast("long").alias("lines_deleted"),
+        F.size(lines).cast("long").alias(names[0]), F.coalesce(F.array_size("g.gone"), F.lit(0)).cast("long").alias(names[1]),
     )

@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks that an earlier one has; a document of which nothing is left goes."""
-    out = dedup_lines(docs).where((F.col("lines_deleted") == 0) | (F.col("lines_deleted") < F.col("lines_before")))
-    changed = F.col("lines_deleted") > 0
+    out = dedup_lines(docs, names=("__before", "__deleted")).where((F.col("__deleted") == 0) | (F.col("__deleted") < F.col("__before")))
+    changed = F.col("__deleted") > 0
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates, that with the smallest doc_id. Documents without words stay; of
     rows that repeat a kept doc_id with the same text, one stays."""
     near = jaccard_components(docs)
-    stays = near.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    stays = near.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    found = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
     numbered = found.withColumn("__nth", F.row_number().over(same))
     return numbered.where("__nth = 1 or doc_id is null").drop("__nth")

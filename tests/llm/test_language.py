@@ -53,4 +53,4 @@ def test_table(spark, awkward, empty):
     unlabelled = L.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").distinct().collect()
     assert [r[0] for r in unlabelled] == ["und"]
     kept = L.accepted(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {5, 4, 7, None, 11, 12}
+    assert kept.columns == docs.columns and all(r.score == 0.5 for r in kept.collect()) and {r.doc_id for r in kept.collect()} == {5, 4, 7, None, 11, 12}

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from cardloom.llm.common import written
 
@@ -22,6 +24,10 @@ def test_copies_and_empty_texts(spark):
     for name, stage in P.STAGES[:-1]:
         docs = written(stage(spark, docs, SF), name)
     assert sorted(r.doc_id for r in docs.collect()) == [1, 3]
+    clashing = docs.withColumns({n: F.lit(n) for n in ("lines_deleted", "lines_before", "kept_id", "score", "lang_pred", "k", "h", "gone", "n", "cls", "rep")})
+    for _, stage in P.STAGES[:-1]:
+        same = stage(spark, clashing, SF)
+        assert same.columns == clashing.columns and all(r.lines_deleted == "lines_deleted" and r.score == "score" and r.gone == "gone" for r in same.collect())
     none = docs.where("false")
     for _, stage in P.STAGES:
         assert not stage(spark, none, SF).count()
