@@ -160,7 +160,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORD
     k, h = _place()
     d = docs.withColumns({"__k": k, "__h": h}).alias("d")
     # a merge join at every size: the losses grow with the documents
-    joined = d.join(lost.select("k", F.col("h").alias("lh"), "gone").alias("g").hint("merge"), (F.col("d.__k") == F.col("k")) & (F.col("d.__h") == F.col("lh")), "left")
+    joined = d.join(lost.select("k", F.col("h").alias("lh"), "gone").alias("g").hint("merge"), (F.col("d.__k") == F.col("g.k")) & (F.col("d.__h") == F.col("g.lh")), "left")
     lines = _lines("d.text")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("g.gone"), i))
     return joined.select(
