@@ -83,7 +83,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text and the row's place: part, place; rows with late = 1 repeat another range's first row."""
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LEAST_KEY)).cast("long").alias("k"))
-    d = d.withColumn("part", ranges(d.select("k"), "k", 4 * partitions(spark)))
+    d = d.withColumn("part", ranges(d.select("k"), "k", 16 * partitions(spark)))
     up = Window.orderBy("part")  # over a row for each range
     tops = d.groupBy("part").agg(F.max("k").alias("top"))
     ghosts = F.broadcast(tops.select(F.col("top").alias("k"), F.coalesce(F.lead("part").over(up), F.first("part").over(up)).alias("to")))
