@@ -5,9 +5,11 @@ or 2 if its words have more than LONG letters together. A term's 128 hash bits v
 counters in each of 64 sums; a bit of the fingerprint is set if more than half of the weight votes for it.
 Likeness is the cosine that the share of differing bits stands for, 0 at the least.
 
-Search: bits are split into RADIUS + KEEP blocks; whatever RADIUS bits differ, KEEP blocks are equal. There is a
-table for each choice of KEEP blocks, keyed by their values. Equal fingerprints are one row with a count, so groups
-of copies cost one row; pairs are compared only within a key, for stated queries against all.
+Search: RADIUS is set by the distances of texts with a Jaccard similarity of 0.8 on five-word shingles. Bits are split into
+TABLES blocks. If RADIUS bits differ, some block differs by no more than its share (shares plus one add up to RADIUS + 1),
+so each fingerprint is kept once for each block, and a query asks for all values that differ by the block's share at most. A pair
+counts in the first block that finds it. Equal fingerprints are one row with a count, so groups of copies cost one row;
+pairs are compared only within a key, for stated queries against all.
 
 The document that follows another by descending doc_id (the first after the last) is found without bringing all
 rows together: doc_ids are dealt into ranges between quantiles, and the first row of each range is also sent to the
@@ -29,8 +31,9 @@ from cardloom.operators.sampling import ranges
 
 from .common import partitions, written
 
-RADIUS, KEEP = 4, 2
+RADIUS, TABLES = 20, 8
 BITS, LONG = 128, 8
+WIDTH = BITS // TABLES
 QUERY_EVERY = 50
 LEAST_KEY = -(1 << 63)
 
@@ -99,35 +102,38 @@ def hexed(f1: str, f2: str) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(f1), 16, "0"), F.lpad(F.hex(f2), 16, "0")))
 
 
-def blocks(n: int) -> list[tuple[int, int]]:
-    """Bit ranges of n blocks of the fingerprint."""
-    ends = [BITS * i // n for i in range(n + 1)]
-    return list(zip(ends, ends[1:], strict=False))
+def shares(radius: int) -> list[int]:
+    """How many bits may differ in each block; blocks with -1 aren't needed."""
+    each, more = divmod(radius + 1, TABLES)
+    return [each - (i >= more) for i in range(TABLES)]
 
 
-def _cut(low: int, high: int) -> list[Column]:
-    """Bits low to high of the fingerprint, as one or two columns."""
-    out = []
-    for f, base in (("f1", 0), ("f2", 64)):
-        a, b = max(low - base, 0), min(high - base, 64)
-        if a < b:
-            v = F.shiftrightunsigned(f, a)
-            out.append(v if b - a == 64 else v.bitwiseAND(F.lit((1 << (b - a)) - 1)))
-    return out
+def _block(i: int, f1: Column, f2: Column) -> Column:
+    low = WIDTH * i
+    return F.shiftrightunsigned(f1 if low < 64 else f2, low % 64).bitwiseAND(F.lit((1 << WIDTH) - 1))
 
 
-def tables(prints: DataFrame, radius: int, keep: int) -> DataFrame:
-    """prints (f1, f2, ...) once for each table, with its key."""
-    parts = blocks(radius + keep)
-    keys = [F.xxhash64(F.lit(t), *[c for i in chosen for c in _cut(*parts[i])]) for t, chosen in enumerate(combinations(range(radius + keep), keep))]
-    return prints.select("*", F.explode(F.array(*keys)).alias("key"))
+def tables(prints: DataFrame, radius: int, asked: bool = False) -> DataFrame:
+    """prints (f1, f2, ...) once for each block, with its key; once for each key in reach if asked."""
+    keys = []
+    for i, share in enumerate(shares(radius)):
+        masks = [(i << WIDTH) + sum(1 << b for b in bits) for n in range(share + 1 if asked else min(share, 0) + 1) for bits in combinations(range(WIDTH), n)]
+        if masks:
+            held = _block(i, F.col("f1"), F.col("f2"))
+            keys.append(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), held.bitwiseXOR))
+    return prints.select("*", F.explode(F.concat(*keys)).alias("key"))
 
 
-def within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, keep: int = KEEP) -> DataFrame:
+def within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """queries (f1, f2) and prints (f1, f2, n), both distinct: f1, f2 and how many rows lie within the radius."""
-    q = tables(queries.select("f1", "f2"), radius, keep).select(F.col("f1").alias("q1"), F.col("f2").alias("q2"), "key")
-    near = q.join(tables(prints, radius, keep), "key").where(distance("q1", "q2", "f1", "f2") <= radius)
-    return near.select("q1", "q2", "f1", "f2", "n").distinct().groupBy(F.col("q1").alias("f1"), F.col("q2").alias("f2")).agg(F.sum("n").alias("n_within"))
+    q = tables(queries.select("f1", "f2"), radius, asked=True).select(F.col("f1").alias("q1"), F.col("f2").alias("q2"), "key")
+    x1, x2 = F.col("q1").bitwiseXOR(F.col("f1")), F.col("q2").bitwiseXOR(F.col("f2"))
+    first = F.lit(None).cast("long")
+    for i, share in reversed(list(enumerate(shares(radius)))):
+        first = F.when(F.bit_count(_block(i, x1, x2)) <= share, F.lit(i).cast("long")).otherwise(first)
+    # a merge join at every size: hot keys are split
+    near = q.join(tables(prints, radius).hint("merge"), "key").where((distance("q1", "q2", "f1", "f2") <= radius) & (first == F.shiftright("key", WIDTH)))
+    return near.groupBy(F.col("q1").alias("f1"), F.col("q2").alias("f2")).agg(F.sum("n").alias("n_within"))
 
 
 def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, query_every: int = QUERY_EVERY) -> DataFrame:

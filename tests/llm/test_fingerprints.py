@@ -46,6 +46,36 @@ def test_search_finds_all(spark):
         assert got == {x: sum(n[y] for y in prints if (x ^ y).bit_count() <= radius) for x in prints}
 
 
+def test_search_at_the_radius(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(128) for _ in range(6)]
+    prints = set(base)
+    for b in base:
+        for _ in range(60):
+            x = b
+            for bit in rng.sample(range(128), rng.randrange(P.RADIUS - 4, P.RADIUS + 5)):
+                x ^= 1 << bit
+            prints.add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x >> 64), signed(x & (1 << 64) - 1), 1) for x in prints], "f1 long, f2 long, n long")
+    got = {((r.f1 & (1 << 64) - 1) << 64) | r.f2 & (1 << 64) - 1: r.n_within for r in P.within(df.select("f1", "f2"), df).collect()}
+    assert got == {x: sum((x ^ y).bit_count() <= P.RADIUS for y in prints) for x in prints}
+
+
+def test_near_copies_count(spark):
+    """Texts of 100 words with one word changed share 91 of 101 five-word shingles, a similarity of 0.9."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(0, 1000, P.QUERY_EVERY):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(100)]
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(10, 90)] = "changed"
+        rows.append((i + 1, " ".join(words)))
+    got = {r.doc_id: r.n_within for r in P.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(0, 1000, P.QUERY_EVERY)] == [2] * 20
+    assert all(got[i + 1] is None for i in range(0, 1000, P.QUERY_EVERY))
+
+
 def test_votes_by_force(spark):
     text = "The quick brown fox jumps over the lazy dog and the quick cat"
     df = spark.createDataFrame([(1, text)], "id long, text string")
