@@ -1,16 +1,18 @@
 """Line deduplication by pairwise alignment.
 
-A document is paired with the first holder (smallest doc_id) of each of its shared lines that is rare (RARE occurrences at most)
-or long (BLOCK_WORDS words at least), and with the first holder of its whole text. So pairs grow with the lines, not with
-the square of a group, and every repeated line leads to the place that keeps it. The two are aligned with patience diff:
+A document is paired with the first holder (smallest doc_id) of each of its windows of lines: from each line on and up to each
+line, the fewest consecutive lines that together have BLOCK_WORDS words. Every line of a common block of that many words is in
+such a window inside the block, so it leads to a document that holds the window, however frequent its lines are. For
+documents with fewer words, the first holders of its rare lines (RARE occurrences at most) and of its whole text are partners too. So
+pairs grow with the lines, not with the square of a group. The two are aligned with patience diff:
 lines that occur once in both, their longest increasing chain, the same again between them, and equal lines at
 both ends. What is left of the later document is aligned again, for blocks that were moved. Aligned runs of lines are common
 blocks; those of BLOCK_WORDS words or more, and those that are all the document has, are deleted from the later document.
 
 Lines are compared without white space at their ends. Blank lines are part of a block but start none. Null and empty
 texts stay as they are; so do first holders, and rows that share a doc_id are not compared with each other (of such rows
-the one with the smallest text hash stands for the doc_id where others align with it). Null doc_ids are the latest. Only short
-lines that are frequent don't pair documents. Texts are handled whole; extra columns of the documents are kept; an empty
+the one with the smallest text hash stands for the doc_id where others align with it). Null doc_ids are the latest. Documents
+of fewer than BLOCK_WORDS words in lines that are all frequent pair with the same text only. Texts are handled whole; extra columns of the documents are kept; an empty
 table gives an empty table. Hashes have 64 bits.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ from .common import salted_join, written
 
 RARE, BLOCK_WORDS, LEAST_WORDS = 32, 20, 4
 LAST = (1 << 63) - 1
+BASE, MIXED = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def increasing(places: list[int]) -> list[int]:
@@ -110,6 +114,31 @@ def common_blocks(earlier: list[int], later: list[int], words: list[int], least:
     return sorted(gone)
 
 
+def windows(lines: np.ndarray, words: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For documents of so many lines each, whose hashes and words follow each other: the number of the document and the hash
+    of each window, once. A window's hash is a polynomial in those of its lines, so all come from sums up to each line."""
+    n = len(lines)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes)
+    after = np.cumsum(words, dtype=np.int64)
+    before = after - words
+    said = np.flatnonzero(words > 0)
+    last = np.searchsorted(after, before[said] + least, "left")
+    down = last < ends[doc[said]]
+    first = np.searchsorted(before, after[said] - least, "right") - 1
+    up = first >= (ends - sizes)[doc[said]]
+    low, high = np.concatenate([said[down], first[up]]), np.concatenate([last[down], said[up]])
+    power, back = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power), np.cumprod(back)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * power)])
+    said_in = ((sums[high + 1] - sums[low]) * back[low]) ^ ((high - low + 1).astype(np.uint64) * np.uint64(MIXED))
+    once = np.unique(np.rec.fromarrays([doc[low], said_in.view(np.int64)], names="doc,hash"))
+    return once["doc"], once["hash"]
+
+
 def _lines(text: str = "text") -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -127,7 +156,15 @@ def deletions(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS)
     outline = written(outline, "outline")
     line = outline.select("k", F.explode(F.arrays_zip("lines", "words")).alias("l")).select("k", F.col("l.lines").alias("line"), F.col("l.words").alias("words")).where(F.col("words") >= LEAST_WORDS)
     whole = outline.where(F.exists("words", lambda w: w > 0)).select("k", F.xxhash64("h", F.lit("whole text")).alias("line"), F.lit(block_words).alias("words"))
-    held = line.union(whole)
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, words = batch.column("lines"), batch.column("words")
+            sizes = np.diff(lines.offsets.to_numpy())
+            doc, said = windows(lines.flatten().to_numpy(), words.flatten().to_numpy(), sizes, block_words)
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(doc)), pa.array(said), pa.array(np.full(len(doc), block_words, np.int32))], ["k", "line", "words"])
+
+    held = line.union(whole).union(outline.select("k", "lines", "words").mapInArrow(windowed, "k long, line long, words int"))
     first = held.groupBy("line").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"), F.max("words").alias("words"))
     seeds = first.where("first < last").where((F.col("n") <= rare) | (F.col("words") >= block_words)).select("line", "first")
     pairs = salted_join(held.select("k", "line"), seeds, "line", "k").where("k <> first").select("first", "k").distinct()

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cardloom.llm import line_dedup as L
@@ -57,6 +58,28 @@ def test_documents(spark, awkward, empty):
     assert (7, "") in kept and (5, "one two three four five six seven") in kept and not L.dedup_lines(empty).count()
 
 
+def test_windows_by_force():
+    rng = random.Random(3)
+    docs = [[(rng.randrange(6) + 1, rng.randrange(8)) for _ in range(rng.randrange(12))] for _ in range(60)]
+    want = set()
+    for d, doc in enumerate(docs):
+        for i in range(len(doc)):
+            for j in range(i, len(doc)):
+                total = lambda a, b, doc=doc: sum(w for _, w in doc[a:b])
+                if total(i, j + 1) >= 20 and ((doc[i][1] and total(i, j) < 20) or (doc[j][1] and total(i + 1, j + 1) < 20)):
+                    want.add((d, tuple(x for x, _ in doc[i : j + 1])))
+    flat = [x for doc in docs for x in doc]
+    doc, said = L.windows(np.array([x * 7**20 for x, _ in flat]), np.array([w for _, w in flat], np.int32), np.array([len(d) for d in docs]), 20)
+    assert len(set(said.tolist())) == len({w for _, w in want}) and sorted(doc.tolist()) == sorted(d for d, _ in want)
+
+
+def test_frequent_short_lines(spark):
+    verse = "\n".join(line(f"v{i}", 6) for i in range(9))
+    rows = [(i, f"{line(f'head{i}')}\n{verse}\n{line(f'tail{i}')}") for i in range(40)]
+    got = {r.doc_id: r.lines_deleted for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: 9 * (i > 0) for i in range(40)}
+
+
 def test_first_holder_keeps_every_line(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = L.dedup_lines(docs).cache()
