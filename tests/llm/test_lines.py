@@ -80,6 +80,15 @@ def test_frequent_short_lines(spark):
     assert got == {i: 9 * (i > 0) for i in range(40)}
 
 
+def test_block_whose_lines_an_earlier_document_scatters(spark):
+    said = [line(f"s{i}", 10) for i in range(5)]
+    apart = "\n".join(f"{x}\n{line(f'between{i}')}" for i, x in enumerate(said[::-1]))
+    block = "\n".join(said)
+    rows = [(1, apart), (2, f"{line('b')}\n{block}"), (3, f"{block}\n{line('c')}")]
+    got = {r.doc_id: (r.text, r.lines_deleted) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (apart, 0), 2: (rows[1][1], 0), 3: (line("c"), 5)}
+
+
 def test_first_holder_keeps_every_line(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = L.dedup_lines(docs).cache()
