@@ -9,7 +9,8 @@ lines that occur once in both, their longest increasing chain, the same again be
 both ends. What is left of the later document is aligned again, for blocks that were moved. Aligned runs of lines are common
 blocks; those of BLOCK_WORDS words or more, and those that are all the document has, are deleted from the later document.
 
-Lines are compared without white space at their ends. Blank lines are part of a block but start none. Null and empty
+Lines are compared without white space at their ends. Words stand between white space; in scripts without spaces two
+characters count as one. Blank lines are part of a block but start none. Null and empty
 texts stay as they are; so do first holders, and rows that share a doc_id are not compared with each other (of such rows
 the one with the smallest text hash stands for the doc_id where others align with it). Null doc_ids are the latest. Documents
 of fewer than BLOCK_WORDS words in lines that are all frequent pair with the same text only. Texts are handled whole; extra columns of the documents are kept; an empty
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import salted_join, written
 
-RARE, BLOCK_WORDS, LEAST_WORDS = 32, 20, 4
+RARE, BLOCK_WORDS = 32, 20
+#: Scripts written without spaces; two of their characters count as a word.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 LAST = (1 << 63) - 1
 BASE, MIXED = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -143,6 +146,12 @@ def _lines(text: str = "text") -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _words(line: Column) -> Column:
+    spaced = F.size(F.split(line, r"\s+"))
+    unspaced = (F.length(F.regexp_replace(line, f"[^{UNSPACED}]+", "")) / 2).cast("int")
+    return F.when(line == "", 0).when(line.rlike(f"[{UNSPACED}]"), F.greatest(spaced, unspaced)).otherwise(spaced)
+
+
 def _place() -> list[Column]:
     return [F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
 
@@ -151,10 +160,10 @@ def deletions(docs: DataFrame, rare: int = RARE, block_words: int = BLOCK_WORDS)
     """k, h, gone: place and text hash of each document that loses lines, and their positions."""
     trimmed = F.transform(_lines(), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     outline = docs.select(*_place(), trimmed.alias("said")).select(
-        "k", "h", F.transform("said", lambda x: F.xxhash64(x)).alias("lines"), F.transform("said", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"\s+")))).alias("words")
+        "k", "h", F.transform("said", lambda x: F.xxhash64(x)).alias("lines"), F.transform("said", _words).alias("words")
     )
     outline = written(outline, "outline")
-    line = outline.select("k", F.explode(F.arrays_zip("lines", "words")).alias("l")).select("k", F.col("l.lines").alias("line"), F.col("l.words").alias("words")).where(F.col("words") >= LEAST_WORDS)
+    line = outline.select("k", F.explode(F.arrays_zip("lines", "words")).alias("l")).select("k", F.col("l.lines").alias("line"), F.col("l.words").alias("words")).where("words > 0")
     whole = outline.where(F.exists("words", lambda w: w > 0)).select("k", F.xxhash64("h", F.lit("whole text")).alias("line"), F.lit(block_words).alias("words"))
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

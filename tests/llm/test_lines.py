@@ -89,6 +89,14 @@ def test_block_whose_lines_an_earlier_document_scatters(spark):
     assert got == {1: (apart, 0), 2: (rows[1][1], 0), 3: (line("c"), 5)}
 
 
+def test_lines_of_few_words_and_unspaced_text(spark):
+    few = "\n".join(line(f"f{i}", 3) for i in range(20))
+    unspaced = "\n".join("".join(chr(0x4E00 + 40 * i + j) for j in range(12)) for i in range(5))
+    rows = [(1, f"{line('a')}\n{few}"), (2, f"{few}\n{line('b')}"), (3, f"{line('c')}\n{unspaced}"), (4, f"{unspaced}\n{line('d')}")]
+    got = {r.doc_id: (r.text, r.lines_deleted) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == (line("b"), 20) and got[4] == (line("d"), 5) and got[1][1] == got[3][1] == 0
+
+
 def test_first_holder_keeps_every_line(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = L.dedup_lines(docs).cache()
