@@ -2,10 +2,14 @@
 
 Groups stand in the order of a 60-bit key of their text's SHA-256. The smallest feasible capacity is found by
 binary search; a greedy pass checks it: fill a shard until the next group would exceed the capacity. The cuts are
-made there. The driver never holds the groups: it holds a histogram over the leading bits of the key and refines
-only those buckets in which a cut of the best partition can lie, until these buckets are single groups. Where one
-group alone decides the capacity, it gets a shard of its own and the groups before and after it are partitioned by
-the same rule with the shards that are left.
+made there. A group of at least the mean size of a shard gets a shard of its own and the groups before and after it are
+partitioned by the same rule with the shards that are left, if no shard then is larger than that group.
+
+The driver never holds the groups. It holds a histogram over the leading bits of the key, beside groups of a 4096th of all bytes
+or more (so 4096 at most), which are items of their own. From it follow bounds on the capacity: an upper one with cuts
+between items only, a lower one with cuts anywhere inside buckets; and from these an interval for each cut. Only
+buckets that reach into an interval are refined by MORE_BITS bits, all others can hold no cut and are never looked at again, so a
+round asks for some hundred buckets whatever the number of groups, until no interval holds a bucket of several groups.
 
 Law: `bytes`, sizes near equal. Null and empty texts are one group of size 1 a row. Repeated rows count as often
 as they occur; ties in the key (equal texts) are never split. Only doc_id and text are read; an empty table gives
@@ -14,94 +18,138 @@ an empty table. A group may hold any share of the rows: its rows are never broug
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import partitions, written
 
 SHARDS = 16
-KEY_BITS, FIRST_BITS, MORE_BITS = 60, 12, 8
-
-
-def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Greedy cuts: ends of shards, as indices into sizes. No size may exceed the capacity."""
-    sums, ends, at = np.cumsum(sizes), [], 0
-    while at < len(sizes):
-        base = sums[at - 1] if at else 0
-        at = int(np.searchsorted(sums, base + capacity, "right"))
-        ends.append(at)
-    return np.array(ends, np.int64)
-
-
-def least_capacity(sizes: np.ndarray, shards: int) -> int:
-    """The smallest capacity with which the greedy pass needs no more shards."""
-    total, largest = int(sizes.sum()), int(sizes.max(initial=0))
-    low, high = max(largest, -(-total // shards)), max(largest, -(-total // shards)) + largest
+KEY_BITS, FIRST_BITS, MORE_BITS = 60, 12, 5
+OWN_ITEM = 4096  # a group with this fraction of all bytes is an item of its own
+MOST_BROADCAST = 20_000
+
+
+def reach(sums: np.ndarray, free: np.ndarray, capacity: int, shards: int) -> np.ndarray:
+    """Where the greedy pass ends each shard, as sums. An item is cut only if it is free."""
+    at, out = int(sums[0]), []
+    for _ in range(shards):
+        at = min(at + capacity, int(sums[-1]))
+        i = int(np.searchsorted(sums, at, "right")) - 1
+        if i < len(free) and not free[i]:
+            at = int(sums[i])
+        out.append(at)
+    return np.array(out, np.int64)
+
+
+def least_capacity(sums: np.ndarray, free: np.ndarray, shards: int) -> int:
+    """The smallest capacity with which the greedy pass reaches the end."""
+    total = int(sums[-1] - sums[0])
+    low, high = -(-total // shards), total
     while low < high:
         mid = (low + high) // 2
-        if len(fill(sizes, mid)) <= shards:
+        if reach(sums, free, mid, shards)[-1] == sums[-1]:
             high = mid
         else:
             low = mid + 1
     return low
 
 
-def cut(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """Ends of the shards, as many as shards, for the ordered atomic sizes."""
-    if not len(sizes):
-        return np.zeros(shards, np.int64)
-    total, big = int(sizes.sum()), int(sizes.argmax())
-    if shards > 1 and sizes[big] * shards >= total and len(sizes) > 1:
-        before, after = sizes[:big], sizes[big + 1 :]
-
-        def worst(k: int) -> int:
-            if (k == 0 and len(before)) or (k == shards - 1 and len(after)):
-                return total + 1
-            return max(least_capacity(before, k) if len(before) else 0, least_capacity(after, shards - 1 - k) if len(after) else 0)
+def dealt(before: int, after: int, shards: int) -> int | None:
+    """How many of the shards go to what stands before a group with its own shard: the largest mean size is smallest."""
+    fits = [k for k in range(shards) if (k or not before) and (k < shards - 1 or not after)]
+    return min(fits, key=lambda k: (max(before / k if before else 0.0, after / (shards - 1 - k) if after else 0.0), k), default=None)
+
+
+@dataclass
+class Cuts:
+    """Bounds on the capacity, the sums at which shards end if all is known, and the items in which a cut may lie."""
+
+    low: int
+    high: int
+    ends: list[int]
+    open: set[int]
+
+
+def cuts_of(sums: np.ndarray, single: np.ndarray, free: np.ndarray, a: int, b: int, shards: int) -> Cuts:
+    """Partition of the items a to b. sums: before each item and at the end; single: the item is one group."""
+    if a == b:
+        return Cuts(0, 0, [int(sums[a])] * shards, set())
+    sizes, total, near = np.diff(sums[a : b + 1]), int(sums[b] - sums[a]), set()
+    big = a + int(np.where(single[a:b], sizes, -1).argmax())
+    size = int(sums[big + 1] - sums[big])
+    if shards > 1 and b - a > 1 and single[big] and size * shards >= total:
+        k = dealt(int(sums[big] - sums[a]), int(sums[b] - sums[big + 1]), shards)
+        if k is not None:
+            left, right = (cuts_of(sums, single, free, x, y, n) if n else Cuts(0, 0, [], set()) for x, y, n in ((a, big, k), (big + 1, b, shards - 1 - k)))
+            near = left.open | right.open
+            if max(left.high, right.high) <= size:
+                return Cuts(size, size, [*left.ends, int(sums[big + 1]), *right.ends], near)
+            if max(left.low, right.low) > size:
+                near = set()
+    part, loose, none = sums[a : b + 1], free[a:b], np.zeros(b - a, bool)
+    low, high = least_capacity(part, loose, shards), least_capacity(part, none, shards)
+    first, last = reach(part, none, low, shards)[:-1], reach(part, loose, high, shards)[:-1]
+    marked = np.zeros(b - a, bool)
+    for x, y in zip(first, last, strict=True):
+        marked |= (part[:-1] < y) & (part[1:] > x)
+    return Cuts(low, high, reach(part, none, high, shards).tolist(), near | {a + int(i) for i in np.flatnonzero(marked & loose)})
 
-        k = min(range(shards), key=lambda k: (worst(k), k))
-        if worst(k) <= int(sizes[big]):
-            left = cut(before, k) if k else np.zeros(0, np.int64)
-            right = cut(after, shards - 1 - k) if shards - 1 - k else np.zeros(0, np.int64)
-            return np.concatenate([left, [big + 1], right + big + 1])
-    ends = fill(sizes, least_capacity(sizes, shards))
-    return np.concatenate([ends, np.full(shards - len(ends), len(sizes))])
 
-
-def boundaries(groups: DataFrame, shards: int) -> list[int]:
-    """Keys before which shards 1, 2, ... begin. groups: key, size; a row for each part of a group will do."""
+def cut(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """Ends of the shards, as many as shards, for the ordered atomic sizes."""
+    sums = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    got = cuts_of(sums, np.ones(len(sizes), bool), np.zeros(len(sizes), bool), 0, len(sizes), shards)
+    return np.searchsorted(sums, got.ends)
+
+
+def boundaries(groups: DataFrame, shards: int, asked: list[int] | None = None) -> list[int]:
+    """Keys before which shards 1, 2, ... begin. groups: key, size, a row for each. asked: gets the number of rows of each round."""
+    spark, asked = groups.sparkSession, [] if asked is None else asked
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    large = groups.where(F.col("size") * OWN_ITEM >= total).select("key", "size").toArrow()  # OWN_ITEM rows at most
+    rest = groups.where(F.col("size") * OWN_ITEM < total).withColumn("rank", F.lit(0))
+    if large.num_rows:
+        by_bucket: dict[int, list[int]] = {}
+        for k in large.column("key").to_pylist():
+            by_bucket.setdefault(k >> KEY_BITS - FIRST_BITS, []).append(k)
+        known = F.broadcast(spark.createDataFrame(list(by_bucket.items()), "top long, large array<long>"))  # OWN_ITEM rows at most
+        joined = rest.join(known, F.shiftright("key", KEY_BITS - FIRST_BITS) == F.col("top"), "left")
+        rest = joined.select("key", "size", F.coalesce(F.size(F.filter("large", lambda x: x < F.col("key"))), F.lit(0)).alias("rank"))
 
     def histogram(rows: DataFrame, bits: int) -> dict[str, np.ndarray]:
-        bucket = F.shiftright("key", KEY_BITS - bits).alias("bucket")
-        got = rows.groupBy(bucket).agg(F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).toArrow()
-        return {c: got.column(c).to_numpy() for c in ("size", "low", "high")}
-
-    items = histogram(groups, bits := FIRST_BITS)
+        """Buckets of the leading bits; groups before and after a large one are apart."""
+        got = rows.groupBy(F.shiftright("key", KEY_BITS - bits).alias("bucket"), "rank").agg(F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).toArrow()
+        asked.append(got.num_rows)
+        return {c: got.column(c).to_numpy().astype(np.int64) for c in ("size", "low", "high", "rank")}
+
+    bits = FIRST_BITS
+    items = histogram(rest, bits)
+    own = {"size": large.column("size").to_numpy(), "low": large.column("key").to_numpy(), "high": large.column("key").to_numpy(), "rank": np.zeros(large.num_rows, np.int64)}
+    items = {k: np.concatenate([v, own[k]]) for k, v in items.items()} | {"free": np.concatenate([items["low"] < items["high"], np.zeros(large.num_rows, bool)])}
     while True:
         order = np.argsort(items["low"])
         items = {k: v[order] for k, v in items.items()}
-        sizes, many = items["size"], items["low"] < items["high"]
-        ends = cut(sizes, shards)
-        if not many.any():
-            break
-        sums = np.concatenate([[0], np.cumsum(sizes)])
-        slack = int(sizes[many].max())
-        marked = np.zeros(len(sizes), bool)
-        for j, e in enumerate(ends[:-1]):
-            reach = (min(j, shards - 2 - j) + 2) * slack if sizes.max() * shards >= sizes.sum() else (j + 2) * slack
-            marked |= (sums[1:] > sums[e] - reach) & (sums[:-1] < sums[e] + reach)
-        marked &= many
-        if not marked.any() or bits >= KEY_BITS:
+        sums = np.concatenate([[0], np.cumsum(items["size"])])
+        got = cuts_of(sums, items["low"] == items["high"], items["free"], 0, len(order), shards)
+        marked = np.zeros(len(order), bool)
+        marked[list(got.open)] = True
+        items["free"] &= marked
+        if not marked.any():
             break
+        if bits >= KEY_BITS:
+            raise RuntimeError("keys that are equal in all bits stand in two rows")
         shift = KEY_BITS - bits
-        wanted = groups.sparkSession.createDataFrame([(int(x),) for x in items["low"][marked] >> shift], "bucket long")
+        wanted = spark.createDataFrame([(int(x) >> shift, int(r)) for x, r in zip(items["low"][marked], items["rank"][marked], strict=True)], "bucket long, rank int")
         bits = min(KEY_BITS, bits + MORE_BITS)
-        rows = groups.join(F.broadcast(wanted), F.shiftright("key", shift) == F.col("bucket"), "left_semi")  # at most a row for each bucket of a histogram of bounded size
-        finer = histogram(rows, bits)
+        wanted = F.broadcast(wanted) if marked.sum() <= MOST_BROADCAST else wanted
+        finer = histogram(rest.withColumn("bucket", F.shiftright("key", shift)).join(wanted, ["bucket", "rank"], "left_semi"), bits)
+        finer["free"] = finer["low"] < finer["high"]
         items = {k: np.concatenate([v[~marked], finer[k]]) for k, v in items.items()}
-    return [int(items["low"][e]) if e < len(sizes) else (1 << KEY_BITS) for e in ends[:-1]]
+    ends = np.searchsorted(sums, got.ends[:-1])
+    return [int(items["low"][e]) if e < len(order) else (1 << KEY_BITS) for e in ends]
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -1,9 +1,12 @@
+import hashlib
 import zlib
 from itertools import combinations
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cardloom.llm import sharding as S
 
@@ -19,16 +22,48 @@ def test_cut_is_minimax(sizes, shards):
     ends = S.cut(np.array(sizes), shards)
     assert len(ends) == shards and ends[-1] == len(sizes) and (np.diff(ends) >= 0).all()
     largest = max(sum(sizes[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True))
-    assert largest == least_by_force(sizes, shards) == S.least_capacity(np.array(sizes), shards)
+    assert largest == least_by_force(sizes, shards)
+
+
+def best(sizes, shards):
+    ends = S.cut(sizes, shards)
+    return np.diff(np.concatenate([[0], np.cumsum(sizes)[ends - 1]])).max()
 
 
 def test_refined_cuts_are_exact(spark):
     rng = np.random.default_rng(1)
     keys = np.unique(np.concatenate([rng.integers(0, 1 << 60, 400), (1 << 59) + rng.integers(0, 1 << 20, 600)]))
-    sizes = rng.integers(1, 500, len(keys))
-    cuts = S.boundaries(spark.createDataFrame(list(zip(keys.tolist(), sizes.tolist(), strict=True)), "key long, size long"), 16)
-    shard = np.searchsorted(np.array(cuts), keys, "right")
-    assert np.bincount(shard, weights=sizes).max() == S.least_capacity(sizes, 16)
+    for name, sizes in {"even": rng.integers(1, 500, len(keys)), "skewed": (rng.pareto(0.5, len(keys)) * 10 + 1).astype(np.int64), "hot": np.where(np.arange(len(keys)) == 500, 200_000, rng.integers(1, 500, len(keys)))}.items():
+        cuts = S.boundaries(spark.createDataFrame(list(zip(keys.tolist(), sizes.tolist(), strict=True)), "key long, size long"), 16)
+        shard = np.searchsorted(np.array(cuts), keys, "right")
+        assert np.bincount(shard, weights=sizes).max() == best(sizes, 16), name
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.4])
+def test_the_driver_sees_few_rows(spark, hot):
+    key = F.conv(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 15), 16, 10).cast("long")
+    groups = spark.range(1_000_000).select(key.alias("key"), F.when(F.col("id") == 77, F.lit(int(hot / (1 - hot) * 300 * 1e6) + 1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(600)) + 1).alias("size"))
+    asked = []
+    cuts = S.boundaries(groups, 16, asked)
+    assert max(asked) <= 20_000 and len(asked) > 2
+    got = groups.orderBy("key").toPandas()
+    sizes = got["size"].to_numpy()
+    assert np.bincount(np.searchsorted(np.array(cuts), got["key"], "right"), weights=sizes).max() == best(sizes, 16)
+
+
+def test_whole_query(spark):
+    """Cuts of the table against the whole list of groups."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = S.shard(docs).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    sizes, shards = {}, {}
+    for r in rows:
+        key = int(hashlib.sha256(texts[r.doc_id]).hexdigest()[:15], 16)
+        assert r.size == len(texts[r.doc_id]) + 1 and shards.setdefault(key, r.shard) == r.shard
+        sizes[key] = sizes.get(key, 0) + r.size
+    keys = sorted(sizes)
+    ends = S.cut(np.array([sizes[k] for k in keys]), 16)
+    assert [shards[k] for k in keys] == np.searchsorted(ends, np.arange(len(keys)), "right").tolist()
 
 
 def test_table(awkward, empty):
