@@ -1,47 +1,38 @@
 """License scan: base phrases and an exact set-similarity join of text blocks with license templates.
 
 Base: the places where a phrase's words stand one after the other.
-Method: a text block is a line. It matches a template if it holds at least CONTAINMENT of the template's distinct
-words. Template words are ordered by their frequency in all documents, rarest first. Prefix filter: a block that
-misses all of the first |T| - need + 1 words can't match, so a document without any such word is passed over.
-Length filter: a block with fewer distinct words than need can't match. Positional filter: a block that misses more
-than |T| - need words at the first positions (the prefix and SLACK more) can't reach need with those behind it.
-What is left is intersected and compared exactly. Templates are few and part of the code; documents are never
-joined with each other and nothing is shuffled but the counts of template words.
-
-Null and empty texts have no words and no labels. Each row is handled by itself, so ties, repeated rows and null
-doc_ids don't matter; extra columns are ignored. An empty table gives an empty table.
+Method: tokens are runs of SHINGLE words, wherever lines break. A template's set holds its distinct tokens. Text blocks are windows of
+words: for a template of so many words, windows twice as long that begin at every multiple of them, so every copy lies whole in
+one. A block matches if it holds at least CONTAINMENT of the template's tokens, and all tokens of its mandatory phrase, which tells
+relatives apart.
+
+Tokens are ordered by how often they occur in all documents, rarest first. Prefix filter: a block without any of the template's
+first |T| - need + 1 tokens can't match; only places of these tokens make candidates. Length filter: nor can one with fewer
+tokens than need. Positional filter: nor can one that has SLACK or fewer of the first |T| - need + 1 + SLACK tokens, as those behind
+don't suffice. The candidates' tokens are then counted exactly. Templates are a table of the code or the caller, joined like the
+documents, so the plan is the same for any number of them; documents are never joined with each other.
+
+Null and empty texts have no words and no labels. Rows are grouped by a 64-bit hash of doc_id and text, so repeated rows get the same
+result, and ties and null doc_ids don't matter; extra columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import math
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+from .license_templates import templates as known_templates
+
 CONTAINMENT = 0.8
-SLACK = 2
+SHINGLE, SLACK = 3, 2
 
 #: Phrases of the base and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-
-#: Wording that licenses ask to be put into a work, with the labels for it.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "Released under the MIT License"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-]
+TEMPLATES = known_templates()
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -55,20 +46,53 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, NO_WORD, " "), " "), lambda w: w != "")
 
 
-def template_words(template: str) -> list[str]:
-    kept = "".join(c if c.isalnum() else " " for c in template.lower())
-    return list(dict.fromkeys(kept.split()))
-
-
-def needed(n: int, containment: float) -> int:
-    return math.ceil(containment * n - 1e-9)
-
-
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """How often each word of the templates occurs in all documents."""
-    known = F.broadcast(docs.sparkSession.range(1).select(F.explode(_strings(vocabulary)).alias("word")))  # the templates' words only
-    said = docs.select(F.explode(F.split(F.regexp_replace(lowered(F.col("text")), NO_WORD, " "), " ")).alias("word"))
-    return {r["word"]: r["n"] for r in said.join(known, "word").groupBy("word").agg(F.count("*").alias("n")).collect()}
+def shingles(ws: Column) -> Column:
+    """A hash of each run of SHINGLE words, in order."""
+    last = F.size(ws) - SHINGLE
+    each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(SHINGLE)]))
+    return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def template_table(spark: SparkSession, templates: list[tuple[str, str, str]], containment: float) -> DataFrame:
+    """template, label, span (words), n (tokens), need, needed tokens of the mandatory phrase, token, must: a row for each token."""
+    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("template"), *map(F.lit, t)) for i, t in enumerate(templates)]))).toDF("template", "label", "wording", "phrase")
+    said = rows.select("template", "label", words(lowered(F.col("wording"))).alias("ws"), shingles(words(lowered(F.col("phrase")))).alias("phrase"))
+    sets = said.select("template", "label", F.size("ws").alias("span"), F.array_distinct(shingles(F.col("ws"))).alias("tokens"), F.array_distinct("phrase").alias("phrase"))
+    sets = sets.withColumn("tokens", F.array_union("tokens", "phrase"))
+    need = F.ceil(F.lit(containment) * F.size("tokens") - 1e-9).cast("int")
+    each = sets.select("template", "label", "span", F.size("tokens").alias("n"), need.alias("need"), F.size("phrase").alias("musts"), "phrase", F.explode_outer("tokens").alias("token"))
+    return written(each.withColumn("must", F.array_contains("phrase", F.col("token"))).drop("phrase"), "templates")
+
+
+def matches(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (key, flat): key, labels, share of those whose text holds templates. table: template_table's."""
+    ws = rows.select("key", F.split("flat", " ").alias("ws")).where(F.size("ws") >= SHINGLE)
+    said = ws.select("key", F.size("ws").alias("many"), F.posexplode_outer(shingles(F.col("ws"))).alias("pos", "token"))  # outer: no filter that makes the tokens a second time
+    vocabulary = F.broadcast(table.select("token").distinct())  # as many rows as the templates have words at most
+    hits = written(said.join(vocabulary, "token"), "license_hits")
+
+    often = hits.groupBy("token").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("template").orderBy(F.coalesce("often", F.lit(0)), "token")
+    ranked = table.join(often, "token", "left").withColumn("rank", F.row_number().over(rarest))
+    prefix = F.col("n") - F.col("need") + 1
+    ranked = written(ranked.select("template", "label", "span", "n", "need", "musts", "token", "must", "rank", prefix.alias("prefix")), "license_tokens")
+
+    def placed(tokens: DataFrame) -> DataFrame:
+        """Hits with the templates that have the token, once for each of the two blocks around the place."""
+        at = F.floor(F.col("pos") / F.col("span"))
+        both = hits.join(F.broadcast(tokens), "token")  # a row for each token of the templates at most
+        return both.withColumn("block", F.explode(F.when(at > 0, F.array(at, at - 1)).otherwise(F.array(at))))
+
+    block = ["key", "template", "block"]
+    early = placed(ranked.where(F.col("rank") <= F.col("prefix") + SLACK)).withColumn("tokens", F.least("many", (F.col("block") + 2) * F.col("span")) - F.col("block") * F.col("span"))
+    held = early.groupBy(*block).agg(F.first("tokens").alias("tokens"), F.first("need").alias("need"), F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.min("rank").alias("low"), F.countDistinct("token").alias("some"))
+    candidates = held.where((F.col("low") <= F.col("prefix")) & (F.col("tokens") >= F.col("need")) & (F.col("some") > F.least(F.lit(SLACK), F.col("n") - F.col("prefix")))).select(*block)
+    counts = placed(ranked).join(candidates, block, "left_semi").groupBy(*block).agg(
+        F.first("label").alias("label"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("musts").alias("musts"),
+        F.countDistinct("token").alias("common"), F.countDistinct(F.when(F.col("must"), F.col("token"))).alias("kept"),
+    )
+    found = counts.where((F.col("common") >= F.col("need")) & (F.col("kept") >= F.col("musts")))
+    return found.groupBy("key").agg(F.collect_set("label").alias("matched"), F.max(F.col("common") / F.col("n")).alias("share"))  # no more labels than templates have
 
 
 def _strings(values: list[str]) -> Column:
@@ -85,69 +109,31 @@ def _stands_at(parts: list[str]) -> Callable[[Column], Column]:
     return at
 
 
-def _possible(ordered: list[str], need: int, prefix: int) -> Callable[[Column], Column]:
-    """Length, prefix and positional filter of one template."""
-
-    def passes(block: Column) -> Column:
-        long_enough = F.size(block) >= need
-        early = F.arrays_overlap(block, _strings(ordered[:prefix]))
-        missed = F.size(F.array_except(_strings(ordered[: prefix + SLACK]), block))
-        return long_enough & early & (missed <= len(ordered) - need)
-
-    return passes
-
-
-def _overlap(ordered: list[str]) -> Callable[[Column], Column]:
-    return lambda block: F.size(F.array_intersect(_strings(ordered), block))
-
-
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: the best containment, 1 with a base label."""
-    sets = [(label, template_words(t)) for label, t in templates]
-    often = frequencies(docs, sorted({w for _, ws in sets for w in ws}))
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: the best containment, 1 with a base label.
+    templates: label, wording, mandatory phrase of at least SHINGLE words."""
     rows = docs.select("doc_id", lowered(F.coalesce("text", F.lit(""))).alias("low"))
-    rows = rows.withColumn("flat", F.trim(F.regexp_replace("low", NO_WORD, " ")))
-    rows = rows.withColumn("n_words", F.when(F.col("flat") == "", 0).otherwise(F.length("flat") - F.length(F.replace("flat", F.lit(" "))) + 1).cast("long"))
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "low").alias("key"), F.trim(F.regexp_replace("low", NO_WORD, " ")).alias("flat"))
+    found = matches(rows.select("key", "flat"), template_table(docs.sparkSession, templates, containment))
 
+    rows = rows.withColumn("n_words", F.when(F.col("flat") == "", 0).otherwise(F.length("flat") - F.length(F.replace("flat", F.lit(" "))) + 1).cast("long"))
     starts, held = F.array().cast("array<int>"), F.array().cast("array<string>")
     for phrase, label in phrases.items():
-        found = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), _stands_at(phrase.split()))
-        starts = F.concat(starts, found)
-        held = F.concat(held, F.when(F.size(found) > 0, _strings([label])).otherwise(F.array().cast("array<string>")))
+        at = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), _stands_at(phrase.split()))
+        starts = F.concat(starts, at)
+        held = F.concat(held, F.when(F.size(at) > 0, _strings([label])).otherwise(F.array().cast("array<string>")))
     padded = F.concat(F.lit(" "), F.col("flat"), F.lit(" "))
     any_phrase = F.lit(False)
     for phrase in phrases:
         any_phrase = any_phrase | F.contains(padded, F.lit(f" {phrase} "))
     rows = rows.withColumn("ws", F.when(any_phrase, F.split("flat", " ")))
-    rows = rows.withColumn("starts", F.when(F.col("ws").isNotNull(), starts)).withColumn("held", F.when(F.col("ws").isNotNull(), F.array_sort(F.array_distinct(held))))
-
-    plans, first_words = [], set()
-    for label, ws in sets:
-        ordered = sorted(ws, key=lambda w: (often.get(w, 0), w))
-        need = needed(len(ws), containment)
-        prefix = len(ws) - need + 1
-        first_words |= set(ordered[:prefix])
-        plans.append((label, ordered, need, prefix))
-    candidate = F.lit(False)
-    for w in sorted(first_words):
-        if often.get(w, 0):
-            candidate = candidate | F.contains(padded, F.lit(f" {w} "))
-    blocks = F.transform(F.split("low", "\n"), lambda line: F.array_distinct(words(line)))
-    rows = rows.withColumn("blocks", F.when(candidate, F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(sorted(first_words))))))
-
-    best, best_label = [], []
-    for label, ordered, need, prefix in plans:
-        common = F.transform(F.filter("blocks", _possible(ordered, need, prefix)), _overlap(ordered))
-        share = F.coalesce(F.array_max(common), F.lit(0)) / F.lit(float(len(ordered)))
-        enough = F.coalesce(F.array_max(common), F.lit(0)) >= need
-        best.append(F.when(enough, share).otherwise(0.0))
-        best_label.append(F.when(enough, F.lit(label)))
-    rows = rows.withColumn("shares", F.when(F.size("blocks") > 0, F.array(*best))).withColumn("matched", F.when(F.size("blocks") > 0, F.array_compact(F.array(*best_label))))
+    rows = rows.select("doc_id", "key", "n_words", F.when(F.col("ws").isNotNull(), starts).alias("starts"), F.when(F.col("ws").isNotNull(), F.array_sort(F.array_distinct(held))).alias("held"))
+
     none = F.array().cast("array<string>")
     base, method = F.coalesce("held", none), F.coalesce("matched", none)
-    return rows.select(
+    return rows.join(found, "key", "left").select(
         "doc_id", "n_words", F.when(F.col("starts").isNull(), 0).otherwise(F.size("starts")).cast("long").alias("n_base"),
         F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
         F.concat_ws(",", base).alias("base_labels"), F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(base, method)))).alias("labels"),
-        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max("shares"), F.lit(0.0))).alias("score"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from .license_scan import CONTAINMENT, PHRASES, TEMPLATES, needed, template_words
+from .license_scan import CONTAINMENT, PHRASES, SHINGLE, TEMPLATES
 
 _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
@@ -26,8 +26,8 @@ def _words(text: str) -> str:
     return rf"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-def _list(values: list[str]) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+def _tokens(ws: str) -> str:
+    return f"list_transform(range(1, len({ws}) - {SHINGLE - 2}), lambda i: array_to_string({ws}[i:i + {SHINGLE - 1}], ' '))"
 
 
 def licenses() -> str:
@@ -35,18 +35,24 @@ def licenses() -> str:
     for phrase, label in PHRASES.items():
         hit = " AND ".join(f"ws[i + {k}] = '{p}'" for k, p in enumerate(phrase.split()))
         places.append(f"list_transform(list_filter(range(1, len(ws) + 1), lambda i: coalesce({hit}, false)), lambda i: {{'at': i - 1, 'label': '{label}'}})")
-    sets = [(label, template_words(t)) for label, t in TEMPLATES]
-    rows = ", ".join(f"('{label}', {_list(ws)}, {needed(len(ws), CONTAINMENT)})" for label, ws in sets)
+    low = lambda x: f"translate({x}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {', '.join(map(quoted, t))})" for i, t in enumerate(TEMPLATES))
     return f"""
-WITH d AS (SELECT doc_id, {_LOW} AS low FROM documents), w AS (SELECT doc_id, low, {_words('low')} AS ws FROM d),
-p AS (SELECT doc_id, ws, low, flatten([{', '.join(places)}]) AS hits FROM w),
-t(label, words, need) AS (VALUES {rows}),
-b AS (SELECT doc_id, list_distinct({_words('block')}) AS bw FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS block FROM d)),
-m AS (SELECT b.doc_id, t.label, len(list_intersect(t.words, b.bw)) / len(t.words) AS share FROM b, t WHERE len(b.bw) >= t.need AND len(list_intersect(t.words, b.bw)) >= t.need),
-g AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM m GROUP BY doc_id)
+WITH w AS (SELECT doc_id, {_words(_LOW)} AS ws FROM documents),
+p AS (SELECT doc_id, ws, flatten([{', '.join(places)}]) AS hits FROM w),
+t(template, label, wording, phrase) AS (VALUES {rows}),
+u AS (SELECT template, label, {_words(low('wording'))} AS ws, {_words(low('phrase'))} AS ps FROM t),
+s AS (SELECT template, label, len(ws) AS span, list_distinct(list_concat({_tokens('ws')}, {_tokens('ps')})) AS tokens, list_distinct({_tokens('ps')}) AS musts FROM u),
+k AS (SELECT template, span, unnest(tokens) AS token FROM s),
+g AS (SELECT doc_id, unnest(range(0, len(ws) - {SHINGLE - 1})) AS pos, unnest({_tokens('ws')}) AS token FROM w),
+h AS (SELECT doc_id, template, pos // span AS b, token FROM g JOIN k USING (token)),
+c AS (SELECT doc_id, template, b, list(DISTINCT token) AS common FROM (SELECT * FROM h UNION ALL SELECT doc_id, template, b - 1, token FROM h WHERE b > 0) GROUP BY ALL),
+m AS (SELECT doc_id, label, len(common) / len(tokens) AS share FROM c JOIN s USING (template) WHERE len(common) >= ceil({CONTAINMENT} * len(tokens) - 1e-9) AND list_has_all(common, musts)),
+f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM m GROUP BY doc_id)
 SELECT p.doc_id, len(ws) AS n_words, len(hits) AS n_base, list_min(list_transform(hits, lambda h: h.at)) AS first_word, list_max(list_transform(hits, lambda h: h.at)) AS last_word,
  coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda h: h.label))), ','), '') AS base_labels,
- coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(hits, lambda h: h.label), coalesce(g.labels, []::VARCHAR[])))), ','), '') AS labels,
- CASE WHEN len(hits) > 0 THEN 1.0 ELSE coalesce(g.share, 0.0) END::DOUBLE AS score
-FROM p LEFT JOIN g ON g.doc_id = p.doc_id
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(hits, lambda h: h.label), coalesce(f.labels, []::VARCHAR[])))), ','), '') AS labels,
+ CASE WHEN len(hits) > 0 THEN 1.0 ELSE coalesce(f.share, 0.0) END::DOUBLE AS score
+FROM p LEFT JOIN f ON f.doc_id = p.doc_id
 """
