@@ -8,7 +8,10 @@ encoding of the prefix itself. What all open guesses share is settled and is emi
 rivals have died, at most the longest token's length later. States and transitions are made when first met and
 kept in a table of bounded size; when it is full, transitions that are missing are made anew each time.
 
-A piece that is a token as a whole is emitted as such, as rank-based encoders do.
+A piece that is a token as a whole is emitted as such, as rank-based encoders do. Texts are split into pieces by the letters and digits
+of the tiktoken library, asked of it at the start. Most pieces are met again, so pieces of up to TAIL bytes are remembered with their
+ids; one that is met for the first time, or leaves the states made so far, follows all open guesses without making states for them:
+a state that no other piece comes through costs more than it saves. Ids are the same both ways.
 Null and empty texts have no ids. Rows are handled one by one; only doc_id and text are read.
 """
 
@@ -17,7 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +29,6 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-#: Code points that the pattern's \s stands for.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ROOT = 0
 UNRANKED = 1 << 62
 TAIL = 64  # bytes that may be read without settling tokens
@@ -226,17 +227,61 @@ class Transducer:
         return out
 
 
+def letter_class(name: str) -> list[tuple[int, int]]:
+    """Ranges of code points that the tiktoken library takes for a class such as \\p{L}: its Unicode tables are not those of other
+    libraries. Told by its own splitter, whose unmatched text has no ids."""
+    import tiktoken
+
+    probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    return _ranges(sorted(set(map(ord, bytes(probe.encode_ordinary(every)).decode()))))
+
+
+def _ranges(points: list[int]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for p in points:
+        if out and out[-1][1] + 1 == p:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return [(a, b) for a, b in out]
+
+
+def _written(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+@lru_cache(2)
+def splitters(pattern: str) -> tuple[Callable, Callable, Callable]:
+    """Pieces of a text, as the library splits it: of an ASCII text, of another, and whether that other holds a code point of which the
+    libraries' tables differ; then the pieces come from the class written out."""
+    import regex
+
+    exact, plain, odd = pattern, pattern, set()
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    for name in ("\\p{L}", "\\p{N}", "\\s"):
+        ranges = letter_class(name)
+        said = _written(ranges)
+        odd ^= {p for a, b in ranges for p in range(a, b + 1)} ^ set(map(ord, regex.findall(name, every)))
+        inside = re.compile(r"(\[[^\]]*)" + re.escape(name))
+        while inside.search(exact):
+            exact = inside.sub(lambda m, said=said: m[1] + said, exact, count=1)
+        exact = exact.replace(name, f"[{said}]")
+        if name == "\\s":
+            exact = exact.replace("\\S", f"[^{said}]")
+            plain = plain.replace("[^\\s", "[^" + said).replace("\\S", f"[^{said}]").replace("\\s", f"[{said}]")
+    slow, fast = re.compile(exact).findall, regex.compile(plain).findall
+    strange = re.compile(f"[{_written(_ranges(sorted(odd)))}]").search if odd else lambda text: None
+    simple = pattern.replace("[^\\s", "[^\\t-\\r ").replace("\\S", "[^\\t-\\r ]").replace("\\s", "[\\t-\\r ]").replace("[^\\t-\\r \\p{L}\\p{N}]", "[^\\t-\\r A-Za-z0-9]").replace("\\p{L}", "[A-Za-z]").replace("\\p{N}", "[0-9]")
+    return fast if "\\p" in simple else re.compile(simple).findall, lambda text: (slow if strange(text) else fast)(text), strange
+
+
 class Encoder:
     """Texts to ids. Words are kept with their ids; the memory is emptied when it is full."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 1_500_000):
-        import regex
-
         self.fst, self.most_words = Transducer(ranks), most_words
-        plain = pattern.replace("[^\\s", "[^" + SPACE).replace("\\S", "[^" + SPACE + "]").replace("\\s", "[" + SPACE + "]")
-        self.split = regex.compile(plain).findall
-        simple = pattern.replace("[^\\s", "[^\\t-\\r ").replace("\\S", "[^\\t-\\r ]").replace("\\s", "[\\t-\\r ]").replace("[^\\t-\\r \\p{L}\\p{N}]", "[^\\t-\\r A-Za-z0-9]").replace("\\p{L}", "[A-Za-z]").replace("\\p{N}", "[0-9]")
-        self.split_ascii = self.split if "\\p" in simple else re.compile(simple).findall
+        self.split_ascii, self.split, _ = splitters(pattern)
         self.words: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:

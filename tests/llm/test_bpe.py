@@ -29,6 +29,24 @@ def test_encoding_is_the_librarys(ranks, library):
         assert encoder.ids(t).tolist() == library.encode_ordinary(t)
 
 
+def test_every_code_point_beside_others(ranks, library):
+    """Letters and digits are the library's: each code point before and behind a letter, a digit, a mark and a space."""
+    encoder = B.Encoder(ranks, PATTERN)
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    for low in range(0, len(every), 512):
+        for frame in ("\u97b8{0}\u8d65 {0}a{0}7{0}!{0} ",):
+            t = "".join(frame.format(c) for c in every[low : low + 512])
+            assert encoder.ids(t).tolist() == library.encode_ordinary(t)
+
+
+def test_random_strings_of_all_planes(ranks, library):
+    encoder, rng = B.Encoder(ranks, PATTERN), random.Random(5)
+    near = [0x10EDA, 0x97B8, 0x1E6C8, 0x8D65, *map(ord, ALPHABET)]
+    for _ in range(100_000):
+        t = "".join(chr(c) for c in (rng.choice(near) if rng.random() < 0.7 else rng.randrange(0xE000, 0x20000) for _ in range(rng.randrange(9))))
+        assert encoder.ids(t).tolist() == library.encode_ordinary(t)
+
+
 def test_transducer_is_merging(ranks):
     fst, rng = B.Transducer(ranks, most_states=200, most_pairs=200), random.Random(2)
     for _ in range(600):
