@@ -67,7 +67,9 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str, str]], c
 def matches(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows (key, flat): key, labels, share of those whose text holds templates. table: template_table's."""
     ws = rows.select("key", F.split("flat", " ").alias("ws")).where(F.size("ws") >= SHINGLE)
-    said = ws.select("key", F.size("ws").alias("many"), F.posexplode_outer(shingles(F.col("ws"))).alias("pos", "token"))  # outer: no filter that makes the tokens a second time
+    run = F.arrays_zip(*[F.slice("ws", F.lit(k + 1), F.size("ws") - (SHINGLE - 1)).alias(f"w{k}") for k in range(SHINGLE)])
+    each = ws.select("key", F.size("ws").alias("many"), F.posexplode_outer(run).alias("pos", "run"))  # outer: no filter that makes the runs a second time
+    said = each.select("key", F.col("many") - (SHINGLE - 1), "pos", F.xxhash64(*[f"run.w{k}" for k in range(SHINGLE)]).alias("token")).toDF("key", "many", "pos", "token")
     vocabulary = F.broadcast(table.select("token").distinct())  # as many rows as the templates have words at most
     hits = written(said.join(vocabulary, "token"), "license_hits")
 
