@@ -49,4 +49,22 @@ PAGES = [
     """<html><body><div class="toc sidebar-nav"><p>On this page: first part, second part, sources and notes</p></div><div class="page-content author-text about" keep><p>A lamp needs oil, a wick and somebody who remembers to light it.</p>
 <p>Most of all it needs a room that would be dark without it.</p></div><div class="skip-link skip"><a href="#c">Skip to the content of this page</a></div><div class="login signup account"><p>Log in or make an account to read on.</p></div>
 <div class="feedback survey rating"><p>Was this page of any help to you? Tell us.</p></div><div class="print-only consent gdpr"><p>We and our partners store data on your device.</p></div></body></html>""",
+    """<html><body class="has-sidebar no-ads"><div class="x1"><div class="x2"><a href="/">Ferry times</a></div><div class="x3"><a href="/1">Lines</a> <a href="/2">Fares</a> <a href="/3">Piers</a></div></div>
+<div class="x4" keep><h1>A new boat for the island</h1><p>The yard handed over the boat on Monday after two years of work on its hull and engines.</p><p>It carries forty cars, and <a href="/e">its engine</a> makes less noise than that of the old one.</p>
+<p>The first crossing leaves at six in the morning.</p></div><div class="x5"><p>Related stories</p><p><a href="/7">The pier is closed in winter</a></p><p><a href="/8">Why the sea is cold in May</a></p></div>
+<div class="x6"><p>Subscribe to our newsletter and get the news of the harbour in your inbox.</p></div><div class="x7">Copyright 2019 Ferry times. All rights reserved. Privacy policy</div></body></html>""",
+    """<html><body><div id="a"><p>We use cookies to make this site work. Accept cookies or change your cookie settings.</p></div><div id="b"><div><h2>How to mend a wall of stones</h2>
+<div keep><p>Lay the largest stones at the bottom, with their long sides into the wall, and fill the heart with small ones.</p><p>Every third course put in a stone that goes through the whole wall.</p></div>
+<p>Sponsored: order now and save 20 % off all our tools.</p><div><a href="/t">Tools</a>, <a href="/s">Stones</a>, <a href="/w">Walls</a></div></div><div><p>3 comments</p><p>Ann says: mine fell down.</p><p>Bob wrote: use larger stones then.</p><p>Leave a comment</p></div></div>
+<div id="c"><p>Share this on your page. Follow us. Log in to your account.</p><p>Back to top</p><p>&copy; 2021 by the mason</p></div></body></html>""",
+    """<html><body><div class="wp-site-blocks"><article class="hentry post type-post category-rivers" keep><header class="entry-header" keep><h1 class="entry-title">Otters</h1></header><div class="entry-content" keep><p>Otters came back to the river when its water became clean, and now eat most of its eels.</p>
+<aside class="pullquote" keep><p>They sleep under the roots of old trees.</p></aside><div class="wp-block-button" drop>Buy now</div></div><footer class="entry-footer" drop><span class="cat-links">Filed under: <a href="/r">Rivers</a></span> <span class="tags-links">Tags: <a href="/o">otters</a></span></footer></article>
+<div class="post-navigation"><a href="/p">Previous page</a> <a href="/n">Next page</a></div><section id="comments" class="comments-area"><article class="comment"><p>I saw one last night at the bridge, it was huge.</p></article></section></div></body></html>""",
+    """<html><body><div class="s-header"><div class="s-logo">Star charts</div></div><div class="s-wrap"><div class="article__content story-body" keep><p>Two planets stand close to each other in the west this evening.</p><figure class="article__image"><figcaption>Both as seen from the hill</figcaption></figure><p>By midnight both are gone.</p></div>
+<div class="article__share share-bar">Share via mail</div><div class="article__tags">Tags: planets, evening</div><div class="recommendations recommended-articles"><h4>You may also like</h4><p>The moon and how to look at it with the naked eye</p></div><div class="paywall-banner"><p>Start your free trial to read more of us each week.</p></div></div>
+<div class="s-footer"><div class="footer-links"><a href="/a">About</a></div><div class="footer__legal">Terms of use</div></div></body></html>""",
+    """<html><body><table><tr><td><a href="/1">Index</a><br><a href="/2">Maps</a><br><a href="/3">Guest book</a></td><td keep><h2>Castles of the north</h2><p>The oldest of them stands on a rock above the mouth of the river and was built in four years.</p><p>Its hall is open in summer; the tower is not.</p></td></tr>
+<tr><td>Last changed in May. Copyright by the author.</td></tr></table></body></html>""",
+    """<html><body><div class="layout"><div class="sidebar-left nav-list"><ul><li><a href="/i">Install</a></li><li><a href="/u">Use</a></li></ul></div><div role="article" class="doc-body markdown-body" keep><h1>Reading a table</h1><p>Call the function with the name of the file; it returns a table.</p><pre>t = read("a.csv")</pre><p>Rows that are broken are left out.</p></div>
+<div class="on-page-toc toc"><p>On this page</p><a href="#1">Reading</a></div></div><div class="feedback-form"><p>Was this helpful? Send us a message.</p></div></body></html>""",
 ]

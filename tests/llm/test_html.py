@@ -1,5 +1,12 @@
+import html as entities
+import re
+from collections import Counter
+
+import pyarrow.parquet as pq
 import pytest
 
+from html_heldout import PAGES as HELD_OUT
+
 from cardloom.llm import html_extract as H
 from cardloom.llm.html_labelled import PAGES
 
@@ -38,6 +45,32 @@ CASES = {
 }
 
 
+def f1(got, want):
+    common = sum((Counter(got) & Counter(want)).values())
+    return 2 * common / (len(got) + len(want))
+
+
+@pytest.mark.parametrize("name", HELD_OUT)
+def test_held_out_site_templates(name):
+    page, blocks = HELD_OUT[name]
+    assert f1(H.main_text(page, W).split(), " ".join(blocks).split()) >= 0.9, H.main_text(page, W)
+
+
+def test_held_out_mean():
+    mean = sum(f1(H.main_text(page, W).split(), " ".join(blocks).split()) for page, blocks in HELD_OUT.values()) / len(HELD_OUT)
+    assert mean >= 0.97, mean
+
+
+def test_table_of_the_driver():
+    """The article of every page, whose markup is known: all between <article> tags."""
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    for r in rows:
+        inside = r["html"].split("<article>", 1)[1].split("</article>", 1)[0]
+        want = re.sub(r"<br>", " ", inside)
+        want = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h\d|li|ul|ol|div|table|tr|blockquote)\b[^>]*>", want)]
+        assert H.main_text(r["html"], W) == "\n\n".join(b for b in want if b), r["page_id"]
+
+
 @pytest.mark.parametrize("html", CASES)
 def test_cases(html):
     assert H.main_text(html, W) == CASES[html]
