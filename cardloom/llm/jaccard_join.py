@@ -93,7 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBat
                 n.append(len(h))
                 s.append(set_hash(h) if len(h) else None)
                 needs.append([keys(h, b, seed)[1] for b in bands(len(h))])
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(needs, pa.list_(pa.int32()))], ["doc_id", "n", "cls", "needs"])
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(needs, pa.list_(pa.int32()))], ["doc_id", "text_hash", "n", "cls", "needs"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], seed: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -260,12 +260,13 @@ def dealt_families(member: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach; n_links as found."""
+    """A row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach), text_hash, and root, which
+    names the component where doc_ids are null or repeated; null for texts without words."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     buckets = 4 * partitions(spark)
     for seed in range(SEEDS):
-        each = written(docs.mapInArrow(partial(_sets, seed=seed), "doc_id long, n long, cls long, needs array<int>"), "sets")
+        each = written(docs.mapInArrow(partial(_sets, seed=seed), "doc_id long, text_hash long, n long, cls long, needs array<int>"), "sets")
         if not each.where(F.exists("needs", lambda x: x == 0)).limit(1).count():
             break
     else:
@@ -297,5 +298,5 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     roots = components(found)
     linked = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    lowest = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
-    return each.join(lowest, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    lowest = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id", "root")
+    return each.join(lowest, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "root")

@@ -5,7 +5,8 @@ Every language has a codeword of +1 and -1 bits. For each bit a binary n-gram cl
 +1 from those with -1; its margin is the mean log odds over the whole text, in units of how far the classifier
 holds the two sides apart. Decoding adds up a loss for each bit, weighted by that separation, and takes the
 codeword with the least; the softmax of the losses is the score, and a document whose best two are close is
-flagged ambiguous.
+flagged ambiguous. A text of EVIDENCE characters or more, fewer than LEAST_KNOWN of whose 3-grams occur in any of the languages as
+learned, is in none of them: of such n-grams the classifiers know nothing, so the nearest codeword is as good as any.
 
 Learning reads labelled rows only: about SAMPLE documents of each language, drawn by a hash of doc_id and text
 (a fraction for each language, so it is one pass without a sort). Counts are summed by Spark; the driver gets at
@@ -39,6 +40,8 @@ BLOCK = 1 << 18
 SHARPNESS = 4.0
 CLOSE = 0.2  # score of the best over the second best below which a document is ambiguous
 SMOOTH = 0.5
+LEAST_KNOWN, EVIDENCE, LEARNED = 0.6, 100, 100_000  # share of 3-grams, characters, 3-grams learned below which none is unknown
+RARE = 5e-6  # share of all 3-grams learned below which one is unknown, so that one document alone teaches nothing
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -82,12 +85,13 @@ def framed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     langs: list[str]
     code: np.ndarray
-    weights: np.ndarray  # N_FEATURES x bits, in units of the bit's separation
+    weights: np.ndarray  # N_FEATURES x bits, in units of the bit's separation; and a column of the 3-grams that are known
     trust: np.ndarray
+    learned: float = LEARNED  # 3-grams read
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
-        """A row for each text: mean weight of its n-grams."""
-        out = np.zeros((len(texts), self.code.shape[1]))
+        """A row for each text: mean weight of its n-grams, and the share of 3-grams that are known."""
+        out = np.zeros((len(texts), self.weights.shape[1]))
         data, starts = framed(texts)
         lengths = np.diff(starts)
         for low in range(0, int(starts[-1]), BLOCK):
@@ -100,9 +104,9 @@ class Model:
             out[first:last] += np.add.reduceat(each, np.maximum(starts[first:last] - low, 0), axis=0)
         return out / lengths[:, None]
 
-    def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best language, its score, and the second best's."""
-        z = np.clip(margins[:, None, :] * self.code[None], -4, 4)
+    def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best language, its score, the second best's, and the share of known 3-grams."""
+        z = np.clip(margins[:, None, :-1] * self.code[None], -4, 4)
         loss = (np.log1p(np.exp(-2 * z)) * self.trust).sum(2) / self.trust.sum()
         p = np.exp(-SHARPNESS * (loss - loss.min(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
@@ -110,7 +114,7 @@ class Model:
         at = np.arange(len(p))
         top = p[at, best]
         p[at, best] = 0
-        return best, top, p.max(1)
+        return best, top, p.max(1), margins[:, -1]
 
 
 def fitted(counts: dict[str, np.ndarray]) -> Model | None:
@@ -126,8 +130,12 @@ def fitted(counts: dict[str, np.ndarray]) -> Model | None:
             p[i, h] = c / c.sum()
     code = codewords(len(langs))
     if not code.size:
-        return Model(langs, np.ones((1, 1), np.int8), np.zeros((N_FEATURES, 1), np.float32), np.ones(1))
-    weights, trust = np.zeros((N_FEATURES, code.shape[1])), np.zeros(code.shape[1])
+        code = np.ones((1, 1), np.int8)
+    weights, trust = np.zeros((N_FEATURES, code.shape[1] + 1)), np.ones(code.shape[1])
+    read = sum(counts[k][halves[1]] for k in langs)
+    weights[halves[1], -1] = read > RARE * read.sum()
+    if len(langs) == 1:
+        return Model(langs, code, weights.astype(np.float32), trust, read.sum())
     for b, bits in enumerate(code.T):
         w = np.log(p[bits > 0].mean(0)) - np.log(p[bits < 0].mean(0))
         means = p @ w
@@ -135,7 +143,7 @@ def fitted(counts: dict[str, np.ndarray]) -> Model | None:
         w -= (low + high) / 4  # both n-gram orders share the threshold
         trust[b] = max(low - high, 1e-6)
         weights[:, b] = w / (trust[b] / 2)
-    return Model(langs, code, weights.astype(np.float32), trust)
+    return Model(langs, code, weights.astype(np.float32), trust, read.sum())
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -179,11 +187,11 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-PREDICTED = ("lang_pred", "score", "ambiguous")
+PREDICTED = ("lang_pred", "score", "ambiguous", "known")
 
 
-def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = PREDICTED) -> DataFrame:
-    """The columns of docs with language, score and ambiguity under the names; columns of docs with these names are replaced."""
+def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str, str] = PREDICTED) -> DataFrame:
+    """The columns of docs with language, score, ambiguity and share of known 3-grams (null for `und`) under the names; columns of docs with these names are replaced."""
     keep = [c for c in docs.columns if c not in names]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # N_FEATURES x bits numbers, whatever the input
@@ -195,13 +203,14 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] =
                 texts = some.column("text").to_pylist()
                 known = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
                 lang, score, close = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts), bool)
+                apart = np.full(len(texts), np.nan)
                 if known:
-                    best, top, second = m.decide(m.margins([texts[i].encode() for i in known]))
+                    best, top, second, apart[known] = m.decide(m.margins([texts[i].encode() for i in known]))
                     lang[known], score[known], close[known] = np.array(m.langs, object)[best], top, top - second < CLOSE
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(close)], [*keep, *names])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(close), pa.array(apart, from_pandas=True)], [*keep, *names])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    made = ", ".join(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True))
+    made = ", ".join(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean", "double"), strict=True))
     return docs.mapInArrow(run, f"{own}, {made}")
 
 
@@ -209,12 +218,22 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous: learned from the rows that aren't held out."""
     held_out = F.coalesce(remainder() == 1, F.lit(False))
     model = learn(docs.where(~held_out), sample)
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous", "known")
 
 
-def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents whose language can be told, with their own columns only: `und` goes, an ambiguous one stays,
-    as mixed or short texts are no fault."""
+def accepted(docs: DataFrame, sample: int = SAMPLE, languages: tuple[str, ...] | None = None, least_known: float = LEAST_KNOWN, evidence: int = EVIDENCE) -> DataFrame:
+    """The documents in one of the languages (None: all that are learned), with their own columns only. Those without a letter, those
+    in another language and those in none that was learned go (the last only if LEARNED 3-grams or more were read); an ambiguous or a short one stays, as mixed or short texts are no
+    fault. If nothing can be learned, all documents with a letter stay."""
     model = learn(docs.where(F.coalesce(remainder() != 1, F.lit(True))), sample)
-    said = predict(docs, model, tuple(f"__{n}" for n in PREDICTED))
-    return said.where(F.col("__lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = tuple(f"__{n}" for n in PREDICTED)
+    lang, _, _, known = map(F.col, names)
+    said = predict(docs, model, names)
+    stays = lang != UNKNOWN
+    if model is not None and model.learned >= LEARNED:
+        stays &= ~((F.length("text") >= evidence) & (known < least_known))
+    if languages is not None:
+        stays &= lang.isin(list(languages))
+    if model is None:
+        stays = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return said.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])

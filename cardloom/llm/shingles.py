@@ -6,7 +6,7 @@ import numpy as np
 
 WORDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POWERS = 1 << 18
+_PART, _PLACES = 1 << 18, 64
 
 #: Bytes that end a word, space and 0x09 to 0x0D.
 _GAP = np.zeros(256, bool)
@@ -24,35 +24,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, base, np.uint64))])
-
-
-_UP = _powers(_BASE, _POWERS)
-_DOWN = _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), _POWERS)
+#: A random number for each byte at each place of a word, so that words of any structure collide by chance only; places from
+#: _PLACES on use the same numbers times a power of an odd number.
+_TABLE = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * _BASE)
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
 
 
-def _few(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
-    low = int(starts[0])
-    part = x[low : int(ends[-1])].astype(np.uint64) + np.uint64(1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(part * up[: len(part)])])
-    s, e = starts - low, ends - low
-    return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+def _few(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of words of these sizes, whose bytes follow each other."""
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(len(x)) - np.repeat(begins, sizes)
+    each = _TABLE[((place & (_PLACES - 1)) << 8) | x]
+    if (most := int(sizes.max())) > _PLACES:
+        turns = np.concatenate([[np.uint64(1)], np.cumprod(np.full(most // _PLACES, _BASE, np.uint64))])
+        each = each * turns[place // _PLACES]
+    return mix(np.add.reduceat(each, begins) + sizes.astype(np.uint64))
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word of the lower-cased bytes, some at a time."""
-    x = _LOWER[data]
     gap = np.concatenate([[True], _GAP[data], [True]])
     starts = np.flatnonzero(gap[:-1] & ~gap[1:])
     ends = np.flatnonzero(~gap[:-1] & gap[1:])
     out, at = [], 0
     while at < len(starts):
-        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + _POWERS, "right")))
-        n = int(ends[upto - 1] - starts[at])
-        tables = (_UP, _DOWN) if n <= _POWERS else (_powers(_BASE, n), _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), n))
-        out.append(_few(x, starts[at:upto], ends[at:upto], *tables))
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + _PART, "right")))
+        low, high = int(starts[at]), int(ends[upto - 1])
+        part = data[low:high]
+        out.append(_few(_LOWER[part[~_GAP[part]]], ends[at:upto] - starts[at:upto]))
         at = upto
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), starts
 

@@ -55,6 +55,16 @@ def test_long_words_and_blocks(monkeypatch):
     assert len(h) == 300002 and len(set(h.tolist())) == 2 and h[0] == h[-1] and len(starts) == len(h)
 
 
+def test_structured_words_do_not_collide():
+    """Words for which every polynomial modulo a power of two gives the same hash (Thue and Morse), and others with a pattern."""
+    thue = ["a"]
+    for _ in range(12):
+        thue.append(thue[-1] + thue[-1].translate(str.maketrans("ab", "ba")))
+    words = [w for t in thue[1:] for w in (t, t.translate(str.maketrans("ab", "ba")))] + ["a" * n for n in range(2, 300)] + ["b" * 64 + "a" * n for n in range(200)]
+    h, _ = word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8))
+    assert len(set(h.tolist())) == len(set(words))
+
+
 @pytest.mark.parametrize("seed", [0, 3])
 def test_partners_share_enough_keys(seed):
     """At the similarity's bound, in every size band: what a partner shares is never less than what is asked for."""
@@ -103,7 +113,7 @@ def test_against_force(spark, monkeypatch, block):
     docs += [(3 * 10**6 + i, " ".join(f"t{j}" if rng.random() > 0.03 else f"z{i}{j}" for j in range(150))) for i in range(40)]
     docs = list({i: (i, t) for i, t in docs}.values())
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    assert sorted(map(tuple, J.jaccard_components(df).collect())) == by_force(docs)
+    assert sorted(tuple(r)[:3] for r in J.jaccard_components(df).collect()) == by_force(docs)
 
 
 def test_table(awkward, empty):

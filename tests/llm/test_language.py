@@ -22,7 +22,7 @@ def test_one_wrong_bit_is_corrected():
         for bit in range(code.shape[1]):
             margins = code[lang].astype(float)[None].copy()
             margins[0, bit] *= -1
-            assert model.decide(margins)[0][0] == lang
+            assert model.decide(np.c_[margins, 1.0])[0][0] == lang
 
 
 def test_margins_do_not_depend_on_blocks(monkeypatch):
@@ -54,3 +54,30 @@ def test_table(spark, awkward, empty):
     assert [r[0] for r in unlabelled] == ["und"]
     kept = L.accepted(docs)
     assert kept.columns == docs.columns and all(r.score == 0.5 for r in kept.collect()) and {r.doc_id for r in kept.collect()} == {5, 4, 7, None, 11, 12}
+
+
+GREEK = "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. " * 2
+RANDOM = "xqzj vkwp qqjx zzkv wqpx jjqz xvkq kkwz pqxj " * 4
+
+
+def test_what_is_accepted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    others = spark.createDataFrame([(900_001, GREEK), (900_002, RANDOM), (900_003, "12 34 -- !"), (900_004, None), (900_005, "a")], "doc_id long, text string")
+    every = docs.unionByName(others, allowMissingColumns=True)
+    kept = L.accepted(every)
+    assert kept.columns == every.columns
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert ids == {r.doc_id for r in docs.select("doc_id").collect()} | {900_005}  # no clean document goes
+    some = {r.lang for r in L.accepted(docs, languages=("de", "fr")).select("lang").distinct().collect()}
+    assert some == {"de", "fr"}
+    assert {r.doc_id for r in L.accepted(every.withColumn("lang", F.lit(None).cast("string"))).select("doc_id").collect()} == ids | {900_001, 900_002}
+
+
+def test_ambiguity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = L.learn(docs)
+    text = {k: docs.where((F.col("lang") == k) & (F.length("text") > 600)).orderBy("doc_id").first().text[:600] for k in ("de", "es", "fr")}
+    rows = [(0, text["de"]), (1, text["fr"]), (2, text["fr"] + " " + text["es"]), (3, text["de"] + " " + text["fr"] + " " + text["es"])]
+    got = {r.doc_id: r for r in L.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert not got[0].ambiguous and not got[1].ambiguous and (got[2].ambiguous or got[3].ambiguous)
+    assert min(r.known for r in got.values()) > 0.9
