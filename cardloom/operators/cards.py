@@ -178,6 +178,18 @@ def exposures(rows: DataFrame) -> DataFrame:
     return rows.groupBy("exposure", "lane", "instruction").agg(side("anchor"), side("positive"), negatives.alias("negatives"))
 
 
+def smoke_mix(items: DataFrame, counts: dict[str, int], prefix: str = "smk") -> DataFrame:
+    """items (lane, item): a small sample for trying a loader, the first of each lane in hashed order, as many as counts says; keys are
+    dense, lane after lane. The sample is bounded by the counts."""
+    lanes = F.array(*map(F.lit, counts))
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("lane"))
+    order = Window.partitionBy("lane").orderBy(shuffled(F.col("item")), "item")
+    some = items.where(F.col("lane").isin(list(counts))).select("lane", "item", F.row_number().over(order).alias("place")).where(F.col("place") <= max(counts.values()))
+    some = some.where(F.col("place") <= most)
+    nth = F.row_number().over(Window.orderBy(F.array_position(lanes, F.col("lane")), "place")) - 1  # of the few rows that are left
+    return some.select(F.format_string(f"{prefix}-%06d", nth.cast("long")).alias("key"), "lane", "item")
+
+
 def mix_by_tokens(lanes: DataFrame, budget: float) -> DataFrame:
     """lanes (lane, weight, mean_tokens): exposures of each lane so that tokens, not exposures, stand in the ratio of the weights."""
     total = F.sum("weight").over(Window.partitionBy(F.lit(0)))

@@ -23,7 +23,13 @@ def above_quantile(df: DataFrame, value: str, share: float, *keys: str) -> DataF
     return joined.where(F.col(value) >= F.col("__bound")).drop("__bound")
 
 
-def passes_floor(df: DataFrame, value: str, floor: float, least_rate: float = 0.3) -> DataFrame:
+def passes_calibrated(df: DataFrame, value: str, share: float = 0.25, least_rate: float = 0.3) -> DataFrame:
+    """The same with the floor that the calibration of these rows sets: a quantile, to four digits."""
+    floor = df.agg(F.round(F.percentile(value, share), 4).alias("__floor"))
+    return passes_floor(df.crossJoin(F.broadcast(floor)), value, F.col("__floor"), least_rate).drop("__floor")  # one row
+
+
+def passes_floor(df: DataFrame, value: str, floor: float | Column, least_rate: float = 0.3) -> DataFrame:
     """Rows at the floor or above; fails if fewer than the least rate pass."""
     rate = df.agg(F.avg((F.col(value) >= floor).cast("double")).alias("__rate"))
     checked = df.crossJoin(F.broadcast(rate))  # one row
@@ -41,42 +47,33 @@ def spread(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.round(F.stddev_pop(value), 6).alias("sigma"), F.round(F.greatest(2 * F.stddev_pop(value), F.lit(EPSILON)), 6).alias("eps"))
 
 
+def _folded(scores: DataFrame, order: str, lanes: list[str], epsilon: float, start: float) -> DataFrame:
+    """order, a score for each lane, kept, best: in one pass over the series in its order."""
+    import pyarrow as pa
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.drop_columns("__series").sort_by(order)
+        best, kept, tops = [start] * len(lanes), [], []
+        for row in zip(*(table.column(x).to_pylist() for x in lanes), strict=True):
+            won = all(x is not None and x - b > epsilon for x, b in zip(row, best, strict=True))
+            best = list(row) if won else best
+            kept.append(won)
+            tops.append(best[0])
+        return table.append_column("kept", pa.array(kept, pa.bool_())).append_column("best", pa.array(tops, pa.float64()))
+
+    typed = scores.select(F.col(order).cast("long").alias(order), *[F.col(x).cast("double").alias(x) for x in lanes])
+    return typed.withColumn("__series", F.lit(0)).groupBy("__series").applyInArrow(fold, f"`{order}` long, {', '.join(f'`{x}` double' for x in lanes)}, kept boolean, best double")
+
+
 def ratchet(scores: DataFrame, order: str, value: str, epsilon: float = EPSILON, start: float = 0.0) -> DataFrame:
     """Each score in the order with `kept`: whether it beats the best so far by more than epsilon, and then is the best.
-    A fold over the scores of one series: one row an evaluation."""
-    step = F.struct(order, value)
-    folded = scores.agg(
-        F.aggregate(
-            F.array_sort(F.collect_list(step)),
-            F.struct(F.lit(start).cast("double").alias("best"), F.array().cast(f"array<struct<{order}:bigint,value:double,kept:boolean,best:double>>").alias("rows")),
-            lambda acc, x: F.struct(
-                F.when(x[value] - acc["best"] > epsilon, x[value]).otherwise(acc["best"]).alias("best"),
-                F.concat(acc["rows"], F.array(F.struct(x[order].cast("bigint").alias(order), x[value].alias("value"), (x[value] - acc["best"] > epsilon).alias("kept"), F.when(x[value] - acc["best"] > epsilon, x[value]).otherwise(acc["best"]).alias("best")))).alias("rows"),
-            ),
-        ).alias("r")
-    )
-    return folded.select(F.explode("r.rows").alias("x")).select("x.*")
+    A fold over the scores of one series, one row an evaluation: it holds that series, and takes time in proportion to it."""
+    return _folded(scores, order, [value], epsilon, start).select(order, F.col(value).alias("value"), "kept", "best")
 
 
 def lanes_ratchet(scores: DataFrame, order: str, lanes: list[str], epsilon: float = EPSILON) -> DataFrame:
     """The same where a score has to beat the best in every lane: the pointer moves in all lanes or in none."""
-    kind = f"struct<{','.join(f'{x}:double' for x in lanes)}>"
-    zero = F.struct(*[F.lit(0.0).alias(x) for x in lanes])
-
-    def beats(best: Column, x: Column) -> Column:
-        out = F.lit(True)
-        for lane in lanes:
-            out = out & (x[lane] - best[lane] > epsilon)
-        return out
-
-    def step(acc: Column, x: Column) -> Column:
-        won = beats(acc["best"], x)
-        best = F.when(won, F.struct(*[x[lane].alias(lane) for lane in lanes])).otherwise(acc["best"])
-        return F.struct(best.alias("best"), F.concat(acc["rows"], F.array(F.struct(x[order].cast("bigint").alias(order), won.alias("kept")))).alias("rows"))
-
-    start = F.struct(zero.cast(kind).alias("best"), F.array().cast(f"array<struct<{order}:bigint,kept:boolean>>").alias("rows"))
-    folded = scores.agg(F.aggregate(F.array_sort(F.collect_list(F.struct(order, *lanes))), start, step).alias("r"))
-    return folded.select(F.explode("r.rows").alias("x")).select("x.*")
+    return _folded(scores, order, lanes, epsilon, 0.0).select(order, "kept")
 
 
 def flat_lines(scores: DataFrame, key: str, hour: str, value: str, least: float = 0.05, at: float = 36.0) -> DataFrame:
@@ -104,13 +101,13 @@ def ema_tripwire(losses: DataFrame, key: str, order: str, value: str, warm: int
 
 
 def retained(checkpoints: DataFrame, last: int = 3, hours: int = 12) -> DataFrame:
-    """checkpoints (step, saved, kept): those kept by the ratchet, the last few, and the oldest of each bucket of hours; all if
-    there are few."""
-    newest = F.row_number().over(Window.orderBy(F.desc("step")))
+    """checkpoints (step, saved, kept), a row for each step: those kept by the ratchet, the last few, and the oldest of each bucket of
+    hours; all if there are few."""
     bucket = F.floor(F.col("saved") / (hours * 3600))
-    oldest = F.row_number().over(Window.partitionBy(bucket).orderBy("step"))
-    ranked = checkpoints.withColumn("__new", newest).withColumn("__old", oldest)
-    return ranked.where((F.col("__new") <= last) | F.col("kept") | (F.col("__old") == 1)).drop("__new", "__old")
+    newest = checkpoints.select("step").orderBy(F.desc("step")).limit(last)
+    oldest = checkpoints.groupBy(bucket.alias("bucket")).agg(F.min("step").alias("step")).select("step")
+    named = newest.union(oldest).distinct().withColumn("__named", F.lit(True))
+    return checkpoints.join(named, "step", "left").where(F.col("kept") | F.col("__named")).drop("__named")
 
 
 def contrastive_loss(sims: DataFrame, temperature: float = 0.05) -> DataFrame:
@@ -121,10 +118,45 @@ def contrastive_loss(sims: DataFrame, temperature: float = 0.05) -> DataFrame:
     return total.select("qid", (F.log("z") + F.col("m") - F.col("p")).alias("loss"))
 
 
-def order_statistic(values: Column, share: float) -> Column:
-    """The element at floor(share x n) of the sorted values, counted from 0; no interpolation."""
-    s = F.array_sort(values)
-    return F.element_at(s, (F.floor(F.lit(share) * F.size(s)) + 1).cast("int"))
+def symmetric_loss(pairs: DataFrame, negatives: DataFrame, rungs: tuple[int, ...], temperature: float = 0.05) -> DataFrame:
+    """pairs (batch, id, anchor, positive), negatives (batch, vec): batch, pairs, loss. At every rung the leading dimensions of all
+    vectors are scaled to length 1; an anchor's candidates are the positives and the negatives of its batch, a positive's the anchors
+    alone. The loss is the mean cross entropy of the own partner over both ways, and over the rungs. A batch is one task, so batches have a fixed size."""
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(table: pa.Table, name: str) -> np.ndarray:
+        return np.array(table.column(name).to_pylist(), np.float64).reshape(table.num_rows, -1 if table.num_rows else 0)
+
+    def entropy(sims: np.ndarray) -> float:
+        x = sims / temperature
+        top = x.max(1, keepdims=True)
+        return float((np.log(np.exp(x - top).sum(1)) + top[:, 0] - x.diagonal()).mean())
+
+    def loss(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        n, total = left.num_rows, 0.0
+        if not n:
+            return pa.table({"batch": pa.array([], pa.int64()), "pairs": pa.array([], pa.int64()), "loss": pa.array([], pa.float64())})
+        a, p, extra = matrix(left, "anchor"), matrix(left, "positive"), matrix(right, "vec")
+        for d in rungs:
+            x, y, z = (m[:, :d] / np.maximum(np.linalg.norm(m[:, :d], axis=1, keepdims=True), 1e-12) for m in (a, p, extra))
+            total += (entropy(x @ (np.concatenate([y, z]) if len(z) else y).T) + entropy(y @ x.T)) / 2
+        return pa.table({"batch": pa.array([key[0].as_py()], pa.int64()), "pairs": pa.array([n], pa.int64()), "loss": pa.array([total / len(rungs)])})
+
+    both = pairs.select("batch", "anchor", "positive").groupBy("batch").cogroup(negatives.select("batch", "vec").groupBy("batch"))
+    return both.applyInArrow(loss, "batch long, pairs long, loss double")
+
+
+def order_statistics(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """For each key the elements at floor(share x n) of its sorted values, counted from 0, without interpolation. Null values don't
+    count. Values are numbered over ranges, so no key's values stand in one row or one task."""
+    from .sampling import numbered
+
+    rows = df.where(F.col(value).isNotNull()).select(key, value)
+    counts = rows.groupBy(key).agg(F.count("*").alias("__all")).withColumnRenamed(key, "__key")
+    placed = numbered(rows, value, "__n", key).join(counts, F.col(key).eqNullSafe(F.col("__key")))
+    at = lambda share: F.col("__n") == F.floor(F.lit(share) * F.col("__all"))
+    return placed.groupBy(key).agg(*[F.max(F.when(at(q), F.col(value))).alias(name) for name, q in shares.items()])
 
 
 def gate_rates(df: DataFrame, passed: Column, *keys: str) -> DataFrame:

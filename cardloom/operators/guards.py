@@ -51,3 +51,42 @@ def refuse(df: DataFrame, column: Column, text: str) -> DataFrame:
 def drop_counts(df: DataFrame, *keys: str) -> DataFrame:
     """How many rows each reason took, and how many were kept."""
     return df.groupBy(*keys, F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason")).agg(F.count("*").alias("n"))
+
+
+GRAM = 8
+
+
+def _tokens(text: str) -> Column:
+    return F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+
+
+def _runs(array: str, n: int, name: str) -> Column:
+    """All runs of n neighbours in an array, as structs of fields name0, name1, ..."""
+    size = F.greatest(F.size(array) - (n - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(array, F.lit(i + 1), size).alias(f"{name}{i}") for i in range(n)])
+
+
+def holding(docs: DataFrame, key: str, items: DataFrame, item_key: str) -> DataFrame:
+    """key, item_key of each document (key, text) that holds the text of an item (item_key, text) as a substring, once. Null and
+    empty items are held by none.
+
+    Candidates come from what a document must have: words inside an item, between two spaces or line breaks, are whole words of the
+    document too, so an item of five words or more is looked for by its longest three inner words in a row; a shorter one by its first
+    GRAM characters (or all). Candidates are then compared exactly; no document meets all items."""
+    docs, items = docs.select(key, "text"), items.select(item_key, F.col("text").alias("item")).where("item <> ''")
+    split = items.withColumn("w", _tokens("item"))
+    long = split.where(F.size("w") >= 5).select(item_key, "item", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))).alias("w"))
+    width = lambda r: sum((F.length(r[f"w{i}"]) for i in range(1, 3)), F.length(r["w0"]))
+    best = F.array_max(F.transform(_runs("w", 3, "w"), lambda r: F.struct(width(r).alias("width"), *[r[f"w{i}"].alias(f"w{i}") for i in range(3)])))
+    seeds = long.select(item_key, "item", best.alias("b")).select(item_key, "item", "b.w0", "b.w1", "b.w2")
+    placed = docs.select(key, _tokens("text").alias("w")).select(key, F.explode_outer(_runs("w", 3, "w")).alias("r")).select(key, "r.*")
+    asked = placed.join(seeds, ["w0", "w1", "w2"]).select(key, item_key, "item")
+
+    short = split.where(F.size("w") < 5).select(item_key, "item", F.least(F.length("item"), F.lit(GRAM)).alias("n"))
+    sizes = sorted(r.n for r in short.select("n").distinct().collect())  # GRAM numbers at most
+    for n in sizes:
+        chars = docs.select(key, F.split("text", "").alias("c")).select(key, F.explode_outer(_runs("c", n, "c")).alias("r"))
+        grams = chars.select(key, F.concat(*[f"r.c{i}" for i in range(n)]).alias("gram"))
+        begins = short.where(F.col("n") == n).select(item_key, "item", F.left("item", F.lit(n)).alias("gram"))
+        asked = asked.union(grams.join(begins, "gram").select(key, item_key, "item"))
+    return docs.join(asked.distinct(), key).where(F.contains("text", "item")).select(key, item_key).distinct()

@@ -97,19 +97,34 @@ KINDS = [
 ]
 
 
-def parsed(df: DataFrame, parser: str) -> DataFrame:
-    """Adds record and drop_reason (parse, length or null)."""
-    rule = rules()[parser]
+def _outcome(rule: Rule) -> tuple[Column, Column]:
+    """Drop reason (parse, length or null) and record of a row."""
     missing, wrong = F.lit(False), F.lit(False)
     for text, low, high in rule.lengths:
         missing = missing | text.isNull()
         wrong = wrong | ~F.length(text).between(low, high)
-    reason = F.when(missing, "parse").when(wrong, "length")
     key = rule.class_key if rule.class_key is not None else F.lit(None).cast("string")
     record = F.struct(rule.anchor.column().alias("anchor"), rule.positive.column().alias("positive"), rule.anchor_text.alias("anchor_text"), F.array(*map(F.lit, rule.unique)).alias("unique"), key.alias("class_key"))
+    return F.when(missing, "parse").when(wrong, "length"), record
+
+
+def parsed(df: DataFrame, parser: str) -> DataFrame:
+    """Adds record and drop_reason (parse, length or null)."""
+    reason, record = _outcome(rules()[parser])
     return df.withColumn("drop_reason", reason).withColumn("record", F.when(F.col("drop_reason").isNull(), record))
 
 
+def parsed_by(df: DataFrame, parser: str) -> DataFrame:
+    """The same for rows of several parsers, in one pass: the column names each row's."""
+    reasons, records = F.lit(None).cast("string"), None
+    for name, rule in rules().items():
+        reason, record = _outcome(rule)
+        mine = F.col(parser) == name
+        reasons = F.when(mine, reason).otherwise(reasons)
+        records = F.when(mine, record) if records is None else records.when(mine, record)
+    return df.withColumn("drop_reason", reasons).withColumn("record", F.when(F.col("drop_reason").isNull(), records))
+
+
 def kinds(df: DataFrame) -> DataFrame:
     """Adds the views, lanes and task of column `kind`."""
     table = df.sparkSession.createDataFrame(KINDS, "kind string, anchor_view string, positive_view string, lanes array<string>, task string")

@@ -46,11 +46,16 @@ def first_by(df: DataFrame, keys: list[str], order: list, most: int = 1) -> Data
 
 def first_passing(df: DataFrame, keys: list[str], order: str, passed: Column, most: int) -> DataFrame:
     """Reject and advance: the first rows of a key that pass, column `taken` true; and the failures before the last one
-    taken, as the log of rejects, false. The pass bit is counted in the order, so it is one window."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    so_far = F.sum(passed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    seen = df.withColumn("__passed", passed).withColumn("__n", so_far)
-    return seen.where((F.col("__passed") & (F.col("__n") <= most)) | (~F.col("__passed") & (F.col("__n") < most))).withColumn("taken", F.col("__passed")).drop("__passed", "__n")
+    taken, as the log of rejects, false. Only the first rows of a key that pass are sorted; failures are compared with the last of them."""
+    marked = df.withColumn("taken", F.coalesce(passed, F.lit(False)))
+    taken = first_by(marked.where("taken"), keys, [order], most)
+    full = taken.groupBy(*keys).agg(F.max(order).alias("__last"), F.count("*").alias("__k")).where(F.col("__k") == most)
+    full = full.select("__last", *[F.col(k).alias(f"__{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    failed = marked.where(~F.col("taken")).join(full, same, "left").where(F.col("__last").isNull() | (F.col(order) < F.col("__last")))
+    return taken.unionByName(failed.select(*marked.columns))
 
 
 def first_then_gated(df: DataFrame, keys: list[str], order: str, most: int, gates: dict[str, Column]) -> DataFrame:
@@ -91,9 +96,12 @@ def numbered(df: DataFrame, order: str, name: str, key: str | None = None) -> Da
     rows = df.withColumn("__part", ranges(df, order, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     counts = rows.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*keys, "__part", before.alias("__before"))  # a row for each range, and key
+    starts = counts.select(*[F.col(k).alias("__key") for k in keys], F.col("__part").alias("__of"), before.alias("__before"))  # a row for each range, and key
+    same = F.col("__part") == F.col("__of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("__key"))
     nth = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(order))
-    return rows.join(starts, [*keys, "__part"]).withColumn(name, F.col("__before") + nth - 1).drop("__part", "__before")
+    return rows.join(starts, same).withColumn(name, F.col("__before") + nth - 1).drop("__part", "__of", "__key", "__before")
 
 
 def binned(number: Column | str, size: int) -> Column:
@@ -108,9 +116,15 @@ def dealt(number: Column | str, hands: int) -> Column:
 
 
 def first_middle_last(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key)
-    rows = df.withColumn("__i", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count("*").over(w))
-    return rows.where(F.col("__i").isin(0) | (F.col("__i") == F.floor(F.col("__n") / 2)) | (F.col("__i") == F.col("__n") - 1)).drop("__i", "__n")
+    """Of each key the rows at places 0, n / 2 and n - 1 of a whole-number order."""
+    counts = df.groupBy(F.col(key).alias("__of")).agg(F.count("*").alias("__all"))
+    rows = numbered(df, order, "__i", key).join(counts, F.col(key).eqNullSafe(F.col("__of")))
+    return rows.where((F.col("__i") == 0) | (F.col("__i") == F.floor(F.col("__all") / 2)) | (F.col("__i") == F.col("__all") - 1)).drop("__i", "__all", "__of")
+
+
+def front_slice(df: DataFrame, order: str, take: int, start: int = 0) -> DataFrame:
+    """The rows from place `start` on in the order, as many as `take`: the form START:COUNT."""
+    return df.orderBy(order).offset(start).limit(take)
 
 
 def lane_of_step(step: Column, lanes: list[str], weights: list[float]) -> Column:
@@ -126,9 +140,10 @@ def lane_of_step(step: Column, lanes: list[str], weights: list[float]) -> Column
 def lane_batches(items: DataFrame, epoch: int, world: int, batch: int) -> DataFrame:
     """items (lane, key): the epoch's order of each lane, cut into steps of world x batch items, a slice for each rank. A step
     that the lane can't fill is left out: the next epoch begins there."""
-    w = Window.partitionBy("lane")
     order = F.sha1(F.concat_ws("/", F.lit(str(SEED)), "lane", F.lit(str(epoch)), F.col("key").cast("string")))
-    rows = items.select("lane", "key", (F.row_number().over(w.orderBy(order, "key")) - 1).alias("pos"), F.count("*").over(w).alias("n"))
+    hashed = items.select("lane", "key", F.conv(F.substring(order, 1, 15), 16, 10).cast("long").alias("__hash"))  # the first 60 bits
+    counts = items.groupBy(F.col("lane").alias("__lane")).agg(F.count("*").alias("n"))
+    rows = numbered(hashed, "__hash", "pos", "lane").join(counts, F.col("lane").eqNullSafe(F.col("__lane")))
     step = F.floor(F.col("pos") / (world * batch))
     rows = rows.select("lane", "key", step.alias("lane_step"), F.floor((F.col("pos") % (world * batch)) / batch).alias("rank"), (F.col("pos") % batch).alias("slot"), "n")
     return rows.where((F.col("lane_step") + 1) * world * batch <= F.col("n")).drop("n")

@@ -7,6 +7,8 @@ block. No side is collected or broadcast. Ties go to the smaller candidate id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -122,16 +124,18 @@ def cross_source_duplicates(vectors: DataFrame, threshold: float = NEAR_DUPLICAT
 def greedy_keepers(vectors: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
     """vectors (id, vec) in the order of id: kept if no earlier keeper is more similar than the threshold.
 
-    A vector's fate depends on its earlier neighbours alone, so it is decided in rounds: without undecided earlier neighbours it
-    is dropped if one of them is kept, else kept. Rounds are as many as the longest chain of neighbours; each is written."""
+    Decided in rounds over the pairs of neighbours that are left: a vector without earlier neighbours among them is kept, so its later
+    neighbours are dropped, with all their pairs. Rounds are as many as the longest chain of neighbours; each writes only the pairs
+    that are still open."""
     from cardloom.sources.tables import staged
 
-    pairs = staged(pairs_above(vectors, threshold, inclusive=False).select("a", "b"), "neighbours")
-    state = staged(vectors.select("id", F.lit(None).cast("boolean").alias("kept")), "keepers")
-    while True:
-        before = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("a_kept")), "a").groupBy("b").agg(F.max(F.coalesce("a_kept", F.lit(False)).cast("int")).alias("hit"), F.max(F.col("a_kept").isNull().cast("int")).alias("open"))
-        known = state.join(before, F.col("id") == F.col("b"), "left")
-        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit") == 1, False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = staged(known.select("id", now.alias("kept")), "keepers")
-        if not state.where("kept is null").limit(1).count():
-            return state.where("kept").select("id")
+    pairs, dropped = staged(pairs_above(vectors, threshold, inclusive=False).select("a", "b"), "neighbours"), []
+    while pairs.limit(1).count():
+        heads = pairs.select("a").join(pairs.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        dropped.append(staged(pairs.join(heads, "a").select("b").distinct(), "dropped"))
+        gone = dropped[-1]
+        pairs = staged(pairs.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"), "neighbours")
+    kept = vectors.select("id")
+    if dropped:
+        kept = kept.join(reduce(DataFrame.union, dropped).select(F.col("b").alias("id")), "id", "left_anti")
+    return kept

@@ -100,14 +100,15 @@ def repeated_ids(cards: DataFrame) -> DataFrame:
 
 
 def broken_media(cards: DataFrame, store: DataFrame) -> DataFrame:
-    """card_id, ref, problem: references that the store (sha, data) lacks, and audio that isn't 16 kHz mono of 30 s at most."""
-    from cardloom.functions.arrow import media_type, wav_info
+    """card_id, ref, problem: references that the store (sha, data) lacks, images that are broken, and audio that isn't 16 kHz mono of 30 s at most."""
+    from cardloom.functions.arrow import image_problem, wav_info
 
     refs = cards.select("card_id", F.explode(F.flatten(_contents())).alias("x")).where("x.type <> 'text'").select("card_id", F.col("x.type").alias("kind"), F.coalesce("x.image", "x.audio").alias("ref"))
     found = refs.withColumn("sha", F.substring("ref", 7, 64)).join(store.select("sha", "data"), "sha", "left")
     info = found.withColumn("info", F.when((F.col("kind") == "audio") & F.col("data").isNotNull(), wav_info("data")))
+    info = info.withColumn("fault", F.when((F.col("kind") == "image") & F.col("data").isNotNull(), image_problem("data")))
     wrong = (F.col("info.rate") != RATE) | (F.col("info.channels") != 1) | (F.col("info.seconds") > MOST_SECONDS)
-    problem = F.when(F.col("data").isNull(), "missing").when(F.col("info.error").isNotNull(), "unreadable").when(wrong, "format").when((F.col("kind") == "image") & ~media_type(F.col("data")).startswith("image/"), "unreadable")
+    problem = F.when(F.col("data").isNull(), "missing").when(F.col("info.error").isNotNull(), "unreadable").when(wrong, "format").when(F.col("fault").isNotNull(), "unreadable")
     return info.select("card_id", "ref", problem.alias("problem")).where("problem is not null")
 
 

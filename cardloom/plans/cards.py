@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cardloom.functions.arrow import media_type, token_cost
 from cardloom.functions.text import dedup_hash
 from cardloom.operators import cards, sampling, validate
+from cardloom.operators.parsers import KINDS
 from cardloom.operators.sampling import SEED
 
 from .common import hash_sql, modulo_sql, table
@@ -79,7 +80,7 @@ def content_layouts(spark: SparkSession, d: str) -> DataFrame:
     held = cards.resolved_map(e.select("conv_id", "card_id", F.lit("text-reply").alias("view"), cards.content(cards.item("text", F.col("said"))).alias("content")), "conv_id")
     inline = F.when(F.col("turn") % 4 == 0, cards.content(cards.item("text", F.col("said"))))
     got = e.join(held, "conv_id").select("card_id", cards.content_of(inline, F.col("resolved"), F.col("card_id"), F.lit("text-reply")).alias("c"))
-    said = cards.materialized(F.col("c"), F.create_map(F.lit("m"), F.lit(b"")), 100)
+    said = cards.materialized(F.col("c"), F.create_map(F.lit("m"), F.lit(b"")))
     return got.select("card_id", said[0]["type"].alias("type"), said[0]["text"].alias("text"))
 
 
@@ -186,13 +187,19 @@ def dup_ids(spark: SparkSession, d: str) -> DataFrame:
 def card_checks(spark: SparkSession, d: str) -> DataFrame:
     """The sample gate and what a check looks at, in one report."""
     c = _cards(spark, d)
-    gate = validate.sample_gate(c, 100).groupBy("rule").agg(F.count("*").alias("n"))
+    gate = validate.sample_gate(c).groupBy("rule").agg(F.count("*").alias("n"))
     return gate.union(validate.media_refs_checked(c).select(F.lit("items looked at").alias("rule"), "n"))
 
 
+#: A PNG of one grey point.
+SMALL_PNG = "89504E470D0A1A0A0000000D49484452000000010000000108000000003A7E9B550000000A4944415478DA6368000000820081DA45083B0000000049454E44AE426082"
+
+
 def media_check(spark: SparkSession, d: str) -> DataFrame:
-    """References against a store that has part of what they name."""
-    store = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_semi").select(F.sha2("text", 256).alias("sha"), F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.col("text").cast("binary")).alias("data"))
+    """References against a store that has part of what they name; some images in it have only the first bytes of one."""
+    image = F.unhex(F.lit(SMALL_PNG))
+    data = F.when(F.length("text") % 2 == 0, image).otherwise(F.concat(F.substring(image, 1, 8), F.col("text").cast("binary")))
+    store = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_semi").select(F.sha2("text", 256).alias("sha"), data.alias("data"))
     good = _cards(spark, d).where(F.col("views")["image-captioned"]["content"][0]["image"].startswith("cas://"))
     return validate.broken_media(good, store.dropDuplicates(["sha"])).groupBy("problem").agg(F.count("*").alias("n"))
 
@@ -214,6 +221,15 @@ def lane_cursor(spark: SparkSession, d: str) -> DataFrame:
     return sampling.lane_batches(items, 1, 2, 8)
 
 
+SMOKE = {"en": 60, "de": 40, "fr": 40, "es": 30}
+
+
+def smoke_shard(spark: SparkSession, d: str) -> DataFrame:
+    """A small shard with so many samples of each lane, keys through all of them; the numbers are the feature."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("lane"), F.col("doc_id").alias("item"))
+    return cards.smoke_mix(docs, SMOKE)
+
+
 def replacements(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", sampling.replacement(F.col("lang"), F.col("doc_id"), F.lit(1), 0, 97).alias("item"))
 
@@ -231,7 +247,7 @@ def token_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kind_views(spark: SparkSession, d: str) -> DataFrame:
-    from cardloom.operators.parsers import KINDS, kinds, modality
+    from cardloom.operators.parsers import kinds, modality
 
     rows = table(spark, d, "documents").select("doc_id", F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), (F.col("doc_id") % len(KINDS) + 1).cast("int")).alias("kind"))
     out = kinds(rows)
@@ -245,7 +261,7 @@ def media_types(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (content_arrays, modality_order, exposures_two_lane, exposures_resolved, content_layouts, instruction_prefix, restamp, positive_views, in_band_negatives, mined_negatives, random_fill, interleaved_views, validate_cards, referential_integrity, dup_ids, card_checks, media_check, manifest, lane_schedule, lane_cursor, replacements, token_costs, token_mix, kind_views, media_types)
+    for f in (content_arrays, modality_order, exposures_two_lane, exposures_resolved, content_layouts, instruction_prefix, restamp, positive_views, in_band_negatives, mined_negatives, random_fill, interleaved_views, validate_cards, referential_integrity, dup_ids, card_checks, media_check, manifest, lane_schedule, lane_cursor, smoke_shard, replacements, token_costs, token_mix, kind_views, media_types)
 }
 
 _KIND = "['text', 'image', 'audio'][(turn * 7 + conv_id) % 3 + 1]"
@@ -253,12 +269,20 @@ _EX = "x AS (SELECT a.conv_id, a.turn, a.text AS asked, b.text AS said, 'flf-con
 _LINES = "l AS (SELECT doc_id, lang, text, string_split(text, chr(10)) AS lines FROM documents)"
 _N = len(BROKEN)
 
+
+
+def _vectors_sql() -> str:
+    from .vectors import _MINED, _P, _S, _V
+
+    return ", ".join((_V, _P, _S, _MINED))
+
+
 ORACLES = {
     "content_arrays": f"SELECT conv_id, string_agg({_KIND} || '=' || CASE WHEN {_KIND} = 'text' THEN text ELSE role END, '|' ORDER BY turn) AS said, true AS whole FROM conversations GROUP BY conv_id",
     "modality_order": f"SELECT conv_id, list(r ORDER BY turn) = list_sort(list(r ORDER BY turn)) AS in_order FROM (SELECT conv_id, turn, list_position(['image', 'text', 'audio'], {_KIND}) AS r FROM conversations) GROUP BY conv_id",
     "exposures_two_lane": f"WITH {_EX} SELECT card_id, 'ask2say' AS lane, 'text' AS anchor, 'text-reply' AS positive FROM x UNION ALL SELECT card_id, 'say2ask', 'text-reply', 'text' FROM x",
     "exposures_resolved": f"WITH {_EX} SELECT x.card_id AS exposure, x.asked AS anchor, CASE WHEN x.turn % 4 = 0 THEN x.said ELSE x.asked END AS positive, CASE WHEN x.turn % 4 = 0 THEN 'text-reply' ELSE 'text' END AS positive_view, (y.card_id IS NOT NULL)::INT AS n_negatives, CASE WHEN y.turn % 4 = 0 THEN y.said ELSE y.asked END AS negative FROM x LEFT JOIN x y ON y.conv_id = x.conv_id + 1 AND y.turn = x.turn",
-    "content_layouts": f"WITH {_EX} SELECT card_id, 'text' AS type, left(said, 100) AS text FROM x",
+    "content_layouts": f"WITH {_EX} SELECT card_id, 'text' AS type, left(said, 4000) AS text FROM x",
     "instruction_prefix": f"WITH {_EX} SELECT card_id, CASE WHEN turn % 4 = 0 THEN 2 ELSE 1 END AS items, CASE WHEN turn % 4 = 0 THEN '{cards.INSTRUCTION}' ELSE asked END AS first FROM x",
     "restamp": f"WITH {_EX} SELECT card_id, ['qa_passage', 'title_doc', 'unheard_of'][conv_id % 3 + 1] AS task_type, ['{cards.INSTRUCTIONS['qa_passage']}', '{cards.INSTRUCTIONS['title_doc']}', 'old'][conv_id % 3 + 1] AS instruction FROM x",
     "positive_views": f"""WITH {_LINES}, e AS (SELECT doc_id, lang, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l)
@@ -273,6 +297,14 @@ ORACLES = {
  r AS (SELECT card_id, 'flf-doc-' || (doc_id + CASE WHEN doc_id % 5 = 0 THEN 10000000 ELSE 0 END) AS neg_id FROM c UNION ALL SELECT card_id, 'flf-doc-' || doc_id FROM c)
  SELECT neg_id, count(*) AS n FROM r WHERE neg_id <> card_id AND neg_id NOT IN (SELECT card_id FROM c) GROUP BY neg_id""",
     "dup_ids": f"SELECT CASE WHEN doc_id % {_N} = {BROKEN.index('card_id')} THEN 'Xflf-doc-' ELSE 'flf-doc-' END || doc_id AS card_id, 2 AS n FROM documents",
+    "card_checks": f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % {_N} = {BROKEN.index('card_id')} THEN 'Xflf-doc-' ELSE 'flf-doc-' END || doc_id AS card_id FROM documents), s AS (SELECT doc_id FROM c ORDER BY sha256('gate:' || card_id) LIMIT 250)
+ SELECT {BROKEN!r}[doc_id % {_N} + 1] AS rule, count(*) AS n FROM s WHERE doc_id % {_N} <> 0 GROUP BY 1 UNION ALL SELECT 'items looked at', 4 * count(*) FROM documents""",
+    "media_check": f"""WITH s AS (SELECT DISTINCT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+ SELECT CASE WHEN s.text IS NULL THEN 'missing' ELSE 'unreadable' END AS problem, 2 * count(*) AS n FROM documents d LEFT JOIN s ON s.text = d.text WHERE doc_id % {_N} <> {BROKEN.index('content_ref')} AND (s.text IS NULL OR length(s.text) % 2 = 1) GROUP BY 1""",
+    "mined_negatives": "WITH " + _vectors_sql() + ", l AS (SELECT qid AS card_id, list(cid ORDER BY rank) AS ids FROM m GROUP BY qid) SELECT card_id, array_to_string(list_slice(CASE WHEN card_id % 3 = 0 THEN list_prepend(card_id + 1, ids) ELSE ids END, 1, 8), ',') AS ids FROM l",
+    "random_fill": "WITH " + _vectors_sql() + " SELECT v.id AS card_id, least(8, (SELECT count(*) - 1 FROM v)) AS k, count(m.cid) AS mined FROM v LEFT JOIN m ON m.qid = v.id AND m.rank <= 5 GROUP BY v.id",
+    "kind_views": f"SELECT k.task, split_part(k.positive_view, '-', 1) AS modality, count(*) AS cards, sum(k.lanes)::BIGINT AS exposures FROM documents JOIN (VALUES {', '.join(f'({i}, {chr(39)}{k[4]}{chr(39)}, {chr(39)}{k[2]}{chr(39)}, {len(k[3])})' for i, k in enumerate(KINDS))}) k(i, task, positive_view, lanes) ON doc_id % {len(KINDS)} = k.i GROUP BY ALL",
+    "smoke_shard": f"SELECT 'smk-' || lpad((row_number() OVER (ORDER BY o, place) - 1)::VARCHAR, 6, '0') AS key, lane, item FROM (SELECT lang AS lane, doc_id AS item, list_position({list(SMOKE)!r}, lang) AS o, row_number() OVER (PARTITION BY lang ORDER BY sha1('{SEED}:' || doc_id), doc_id) AS place FROM documents) WHERE place <= {list(SMOKE.values())!r}[o]",
     "manifest": "WITH r AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS shard, 'doc-' || lpad(doc_id::VARCHAR, 7, '0') AS key, text FROM documents) SELECT shard, count(*) AS samples, sum(strlen(text))::BIGINT AS bytes, min(key) AS first_key, max(key) AS last_key, sha256(string_agg(sha256(text), '' ORDER BY key)) AS sha256 FROM r GROUP BY shard",
     "lane_schedule": f"SELECT doc_id AS step, CASE WHEN u < 0.5 THEN 'text' WHEN u < 0.8 THEN 'image' ELSE 'audio' END AS lane FROM (SELECT doc_id, {modulo_sql(f'{chr(39)}{SEED}:lane:{chr(39)} || doc_id', 1000000)} / 1000000 AS u FROM documents)",
     "lane_cursor": f"""WITH o AS (SELECT lang AS lane, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY sha1('{SEED}/' || lang || '/1/' || doc_id), doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +24,14 @@ def _key() -> Column:
 
 
 def ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Sample, clean, length, duplicates: what each step takes, by source."""
+    """Sample, clean, length, duplicates: what each step takes, by source. The first of each hash is found by an aggregate and joined by hash
+    and doc_id, so neither rows without a hash nor those of a frequent one meet in one task."""
     rows = _docs(spark, d).select("doc_id", "source", T.clean("text", LOW, HIGH).alias("said"), sampling.sampled_below(_key(), 0.5).alias("drawn"))
-    rows = rows.withColumn("hash", F.when(F.col("drawn"), T.dedup_hash("said")))
-    nth = F.row_number().over(Window.partitionBy("hash").orderBy("doc_id"))
-    reason = F.when(~F.col("drawn"), "not_sampled").when(F.col("said").isNull(), "length").when((F.col("hash").isNotNull()) & (nth > 1), "duplicate")
-    return guards.drop_counts(rows.withColumn("drop_reason", reason), "source")
+    rows = rows.select("doc_id", "source", "drawn", F.col("said").isNull().alias("unfit"), F.when(F.col("drawn"), T.dedup_hash("said")).alias("hash"))
+    first = rows.where("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    joined = rows.join(first, ["hash", "doc_id"], "left")
+    reason = F.when(~F.col("drawn"), "not_sampled").when(F.col("unfit"), "length").when(F.col("hash").isNotNull() & F.col("first").isNull(), "duplicate")
+    return guards.drop_counts(joined.withColumn("drop_reason", reason), "source")
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
@@ -144,14 +144,13 @@ def guard_first_reason(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decontaminate_substring(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a whole benchmark item. Pairs come from the item's first words, so no document meets all items."""
-    flat = lambda c: F.split(F.replace(c, F.lit("\n"), F.lit(" ")), " ")
-    items = table(spark, d, "benchmark").select("item_id", "text", *[F.get(flat("text"), F.lit(i)).alias(f"w{i}") for i in range(3)])
-    docs = _docs(spark, d)
-    starts = F.arrays_zip(*[F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in range(3)])
-    placed = docs.select("doc_id", flat("text").alias("w")).select("doc_id", F.explode(starts).alias("s")).select("doc_id", "s.*")
-    asked = placed.join(items, ["w0", "w1", "w2"]).select("doc_id", "item_id", F.col("text").alias("item")).distinct()
-    return docs.select("doc_id", "text").join(asked, "doc_id").where(F.contains("text", "item")).groupBy("doc_id").agg(F.countDistinct("item_id").alias("items"))
+    """Documents that hold a whole benchmark item as a substring."""
+    return guards.holding(_docs(spark, d), "doc_id", table(spark, d, "benchmark"), "item_id").groupBy("doc_id").agg(F.countDistinct("item_id").alias("items"))
+
+
+def front_slice(spark: SparkSession, d: str) -> DataFrame:
+    """A slice of fixed place and size, the feature being its limits."""
+    return sampling.front_slice(_docs(spark, d).select("doc_id", "lang"), "doc_id", 120, 40)
 
 
 #: For each parser, what stands before the text in a query.
@@ -163,14 +162,13 @@ _LEAD = {
 
 
 def parse_pairs(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).withColumns({"qry_image_path": F.concat(F.lit("images/q"), "doc_id"), "pos_image_path": F.concat(F.lit("images/p"), "doc_id")})
-    outs = []
-    for i, (name, lead) in enumerate(_LEAD.items()):
-        qry = F.when(F.col("doc_id") % 9 == 0, F.col("text")).otherwise(F.concat(F.lit(lead), "text"))
-        pos = F.concat(F.lit("related text information: " if name == "web_question" else ""), F.col("text"))
-        rows = parsers.parsed(docs.where(F.col("doc_id") % 10 == i).withColumns({"qry": qry, "pos_text": pos}), name)
-        outs.append(rows.select("doc_id", F.lit(name).alias("parser"), F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason"), F.col("record.anchor_text").alias("anchor_text"), F.col("record.anchor.kind").alias("anchor_kind"), F.col("record.positive.member").alias("positive_member")))
-    return reduce(DataFrame.unionAll, outs)
+    """Every document by every parser, in one scan."""
+    leads = F.explode(F.array(*[F.struct(F.lit(name).alias("parser"), F.lit(lead).alias("lead")) for name, lead in _LEAD.items()]))
+    docs = _docs(spark, d).select("doc_id", "text", leads.alias("p")).select("doc_id", "text", "p.*")
+    qry = F.when(F.col("doc_id") % 9 == 0, F.col("text")).otherwise(F.concat("lead", "text"))
+    pos = F.concat(F.when(F.col("parser") == "web_question", "related text information: ").otherwise(""), F.col("text"))
+    rows = parsers.parsed_by(docs.withColumns({"qry": qry, "pos_text": pos, "qry_image_path": F.concat(F.lit("images/q"), "doc_id"), "pos_image_path": F.concat(F.lit("images/p"), "doc_id")}), "parser")
+    return rows.select("doc_id", "parser", F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason"), F.col("record.anchor_text").alias("anchor_text"), F.col("record.anchor.kind").alias("anchor_kind"), F.col("record.positive.member").alias("positive_member"))
 
 
 def _parse_sql() -> str:
@@ -187,9 +185,9 @@ def _parse_sql() -> str:
     kind = {"text_to_image": "text", "dialog": "text", "web_question": "text", "question": "imagetext", "grounding": "imagetext", "composed": "imagetext"}
     member = ("text_to_image", "grounding", "composed", "similar", "dialog", "web_question")
     parts = []
-    for i, (name, lead) in enumerate(_LEAD.items()):
+    for name, lead in _LEAD.items():
         lead_sql = lead.replace("\n", "' || chr(10) || '")
-        base = f"SELECT doc_id, 'images/q' || doc_id AS qi, 'images/p' || doc_id AS pi, CASE WHEN doc_id % 9 = 0 THEN text ELSE '{lead_sql}' || text END AS qry, '{'related text information: ' if name == 'web_question' else ''}' || text AS pos_text FROM documents WHERE doc_id % 10 = {i}"
+        base = f"SELECT doc_id, 'images/q' || doc_id AS qi, 'images/p' || doc_id AS pi, CASE WHEN doc_id % 9 = 0 THEN text ELSE '{lead_sql}' || text END AS qry, '{'related text information: ' if name == 'web_question' else ''}' || text AS pos_text FROM documents"
         t, (p2, low2, high2) = text[name], second.get(name, ("'x'", 1, 1))
         low, high = bounds.get(name, (0, 10**9))
         reason = f"CASE WHEN t IS NULL OR p2 IS NULL THEN 'parse' WHEN length(t) NOT BETWEEN {low} AND {high} OR length(p2) NOT BETWEEN {low2} AND {high2} THEN 'length' ELSE 'kept' END"
@@ -245,7 +243,7 @@ def model_queries(spark: SparkSession, d: str) -> DataFrame:
 _SAMPLE = "SELECT doc_id, source FROM documents WHERE {} {} {}"
 QUERIES = {
     f.__name__: f
-    for f in (ingest, clean_text, drop_reasons, len_bands, dedup_first, duplicate_groups, text_keys, hash_sample_lt, hash_sample_le, hash_sample_10000, hash_subset20, ordered_sample, stratified_cap, first_per_label, first_mid_last, reject_and_advance, first_candidates, dense_ids, grouped_bins, guard_anti_hash, guard_first_reason, decontaminate_substring, parse_pairs, rights_tiers, boilerplate, page_titles, page_queries_dedup, source_rollup, html_unescape, model_queries)
+    for f in (ingest, clean_text, drop_reasons, len_bands, dedup_first, duplicate_groups, text_keys, hash_sample_lt, hash_sample_le, hash_sample_10000, hash_subset20, ordered_sample, stratified_cap, first_per_label, first_mid_last, reject_and_advance, first_candidates, dense_ids, grouped_bins, guard_anti_hash, guard_first_reason, decontaminate_substring, front_slice, parse_pairs, rights_tiers, boilerplate, page_titles, page_queries_dedup, source_rollup, html_unescape, model_queries)
 }
 
 _CLEAN = f"""WITH c AS (SELECT *, {collapse_sql('text')} AS s FROM documents), d AS (SELECT *, left(s, {HIGH}) AS cut FROM c),
@@ -280,7 +278,8 @@ ORACLES = {
     "guard_anti_hash": f"SELECT doc_id, count(*) AS lines_left FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE {hash_sql('line')} NOT IN (SELECT {hash_sql('text')} FROM benchmark) GROUP BY doc_id",
     "guard_first_reason": """WITH m AS (SELECT doc_id, source, CASE WHEN lang = 'de' THEN 'val2014' ELSE 'train2014' END AS split, lpad(doc_id::VARCHAR, 12, '0') AS id FROM documents)
  SELECT source, CASE WHEN split = 'val2014' THEN 'split' WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'basename' WHEN id IN (SELECT lpad(item_id::VARCHAR, 12, '0') FROM benchmark) THEN 'id' ELSE 'kept' END AS drop_reason, count(*) AS n FROM m GROUP BY ALL""",
-    "decontaminate_substring": "SELECT doc_id, count(DISTINCT item_id) AS items FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id",
+    "decontaminate_substring": "SELECT doc_id, count(DISTINCT item_id) AS items FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text) GROUP BY doc_id",
+    "front_slice": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 120 OFFSET 40",
     "parse_pairs": _parse_sql(),
     "rights_tiers": "SELECT doc_id, ['commercial', 'research_only', 'commercial_after_attribution', 'research_only', 'source_audit_required', 'source_audit_required'][doc_id % 6 + 1] AS tier, "
     f"['CC0 1.0', '{_LICENSES[1]}', 'CC BY', '{_LICENSES[3]}', 'unknown', 'own terms'][doc_id % 6 + 1] AS license, ['clear', 'pending', 'clear', 'pending', 'pending', 'pending'][doc_id % 6 + 1] AS audit FROM documents",

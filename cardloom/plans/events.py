@@ -36,7 +36,8 @@ def ratchet_lanes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ema_tripwire(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.ema_tripwire(_events(spark, d), "event_type", "event_id", "value", patience=2, times=2.0, plus=0.0)
+    """A user's events stand for the losses of one run."""
+    return evaluate.ema_tripwire(_events(spark, d), "user_id", "event_id", "value", patience=2, times=2.0, plus=0.0)
 
 
 def flat_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +63,7 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_stat(spark: SparkSession, d: str) -> DataFrame:
-    got = _events(spark, d).groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return got.select("event_type", *[evaluate.order_statistic(F.col("v"), q).alias(n) for n, q in (("median", 0.5), ("p90", 0.9), ("p10", 0.1))])
+    return evaluate.order_statistics(_events(spark, d), "event_type", "value", {"median": 0.5, "p90": 0.9, "p10": 0.1})
 
 
 def resume_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +146,7 @@ ORACLES = {
  r AS (SELECT i, step, score > 1.0 AND other > 1.0 AS kept, CASE WHEN score > 1.0 AND other > 1.0 THEN score ELSE 0.0 END AS b1, CASE WHEN score > 1.0 AND other > 1.0 THEN other ELSE 0.0 END AS b2 FROM o WHERE i = 1
  UNION ALL SELECT o.i, o.step, o.score - b1 > 1.0 AND o.other - b2 > 1.0, CASE WHEN o.score - b1 > 1.0 AND o.other - b2 > 1.0 THEN o.score ELSE b1 END, CASE WHEN o.score - b1 > 1.0 AND o.other - b2 > 1.0 THEN o.other ELSE b2 END FROM r JOIN o ON o.i = r.i + 1)
  SELECT step, kept FROM r""",
-    "ema_tripwire": f"SELECT event_type, round(z.ema, 4) AS ema, z.n AS steps, z.halt AS halt FROM (SELECT event_type, list_reduce(list_prepend({{'ema': NULL::DOUBLE, 'run': 0, 'n': 0, 'halt': NULL::INT, 'v': 0.0::DOUBLE}}, list({{'ema': NULL::DOUBLE, 'run': 0, 'n': 0, 'halt': NULL::INT, 'v': value}} ORDER BY event_id)), lambda a, x: {_EMA}) AS z FROM events GROUP BY event_type)",
+    "ema_tripwire": f"SELECT user_id, round(z.ema, 4) AS ema, z.n AS steps, z.halt AS halt FROM (SELECT user_id, list_reduce(list_prepend({{'ema': NULL::DOUBLE, 'run': 0, 'n': 0, 'halt': NULL::INT, 'v': 0.0::DOUBLE}}, list({{'ema': NULL::DOUBLE, 'run': 0, 'n': 0, 'halt': NULL::INT, 'v': value}} ORDER BY event_id)), lambda a, x: {_EMA}) AS z FROM events GROUP BY user_id)",
     "flat_lines": "SELECT user_id, best FROM (SELECT user_id, max(CASE WHEN h <= 36 THEN value END) AS best, max(h) AS last FROM (SELECT user_id, value, (floor(epoch(ts)) - epoch(TIMESTAMP '2024-01-01')) / 3600.0 AS h FROM events) GROUP BY user_id) WHERE last >= 36 AND coalesce(best, 0) < 40",
     "retention": "SELECT step FROM (SELECT event_id AS step, event_id % 100 = 0 AS kept, row_number() OVER (ORDER BY event_id DESC) AS new, row_number() OVER (PARTITION BY floor(epoch(ts) / 43200) ORDER BY event_id) AS old FROM events WHERE event_type = 'signup') WHERE new <= 3 OR kept OR old = 1",
     "gate_rates": "SELECT lang, count(*) AS n, sum((quality = 1 AND toxic = 0)::BIGINT)::BIGINT AS passed, round(avg((quality = 1 AND toxic = 0)::INT), 4) AS rate FROM labels JOIN documents USING (doc_id) GROUP BY lang",

@@ -78,6 +78,44 @@ def unique_space(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).groupBy("label").agg(F.min("id").alias("first"), F.count("*").alias("cards"))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """The space of unique items: an item that several cards have stands once, with the vector of its first card. Two neighbours in number
+    share an item here, and its id is a hash, as ids of content are."""
+    cards = _cards(spark, d)
+    first = cards.groupBy("item").agg(F.min("id").alias("first"), F.count("*").alias("cards"))
+    return first.join(cards.select(F.col("id").alias("first"), "vec"), "first").select("item", "first", "cards", "vec")
+
+
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards with the id of their own item and of their positive's."""
+    named = lambda n: F.substring(F.sha2(F.concat(F.lit("item||"), n.cast("string")), 256), 1, 32)
+    n = F.floor(F.col("id") / 2)
+    return _vectors(spark, d).select("id", "vec", named(n).alias("item"), named(n + 1).alias("positive"))
+
+
+def item_space(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d).select("item", "first", "cards")
+
+
+def knn_item_space(spark: SparkSession, d: str) -> DataFrame:
+    """Cards joined with their positives by the item's id, and mined among unique items: neither the positive itself nor an item as near
+    as 0.95 of it."""
+    items = _items(spark, d)
+    pairs = _cards(spark, d).join(items.select(F.col("item").alias("positive"), F.col("first").alias("own"), F.col("vec").alias("pvec")), "positive")
+    asked = pairs.select(F.col("id").alias("qid"), "vec", "own", (V.dot("vec", "pvec") * similarity.CEILING).alias("ceiling"))
+    got = similarity.top_k(asked, items.select(F.col("first").alias("cid"), "vec"))
+    return got.join(items.select(F.col("first").alias("cid"), "item"), "cid").select("qid", "item", "sim", "rank")
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors, and near copies of some under other sources: the first number is moved a little."""
+    v = _vectors(spark, d).select("id", "vec", "label")
+    moved = F.transform("vec", lambda x, i: F.when(i == 0, x.cast("double") + 0.01).otherwise(x.cast("double")))
+    copies = v.where("id % 25 = 0").select((F.col("id") + 1_000_000).alias("id"), moved.alias("vec"), (F.col("label") + 1).alias("label"))
+    both = v.select("id", F.col("vec").cast("array<double>").alias("vec"), "label").union(copies)
+    return both.select("id", "vec", F.col("label").cast("string").alias("src"), F.col("label").alias("priority"))
+
+
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).select("id", "vec", F.col("label").cast("string").alias("src"), F.col("label").alias("priority"))
 
@@ -87,7 +125,7 @@ def near_dup_cross(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_dup_cross_default(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.cross_source_duplicates(_sources(spark, d))
+    return similarity.cross_source_duplicates(_planted(spark, d))
 
 
 def near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
@@ -103,8 +141,8 @@ def decile_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quartile_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs at the floor that the calibration sets, which must pass often enough."""
-    return evaluate.passes_floor(_pairs(spark, d), "pos", -0.05).select("id", F.round("pos", 4).alias("pos"))
+    """Pairs at the floor that the calibration sets, its lower quartile, which must pass often enough."""
+    return evaluate.passes_calibrated(_pairs(spark, d), "pos", 0.25).select("id", F.round("pos", 4).alias("pos"))
 
 
 def neg_hist(spark: SparkSession, d: str) -> DataFrame:
@@ -152,6 +190,19 @@ def infonce(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.contrastive_loss(pos.union(neg)).select("qid", F.round("loss", 3).alias("loss"))
 
 
+RUNGS, BATCH = (64, 32, 16, 8), 32
+
+
+def infonce_symmetric(spark: SparkSession, d: str) -> DataFrame:
+    """The loss both ways and at every rung, of batches of pairs with the best negative of each."""
+    v = _vectors(spark, d).select("id", "vec")
+    pairs = _pairs(spark, d).select("id", "pid").join(v.select("id", F.col("vec").alias("anchor")), "id").join(v.select(F.col("id").alias("pid"), F.col("vec").alias("positive")), "pid")
+    batch = F.floor(F.col("id") / BATCH).alias("batch")
+    mined = knn_percpos(spark, d).where("rank = 1").select(F.col("qid").alias("id"), F.col("cid").alias("nid")).join(v.select(F.col("id").alias("nid"), "vec"), "nid")
+    out = evaluate.symmetric_loss(pairs.select(batch, "id", "anchor", "positive"), mined.select(batch, "vec"), RUNGS)
+    return out.select("batch", "pairs", F.round("loss", 3).alias("loss"))
+
+
 def mutual_knn(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of neighbours in all dimensions and in the first half."""
     v = _vectors(spark, d)
@@ -177,7 +228,7 @@ def run_spread(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (knn_topk, knn_single, knn_percpos, knn_disjoint_label, knn_two_tier, knn_bidirectional, unique_space, near_dup_cross, near_dup_cross_default, near_dup_greedy, calibration, decile_filter, quartile_gate, neg_hist, recall_at_k, recall_both_ways, mrl_recall, infonce, mutual_knn, vector_norms, embedding_checksum, run_spread)
+    for f in (knn_topk, knn_single, knn_percpos, knn_disjoint_label, knn_two_tier, knn_bidirectional, unique_space, near_dup_cross, near_dup_cross_default, near_dup_greedy, calibration, decile_filter, quartile_gate, neg_hist, recall_at_k, recall_both_ways, mrl_recall, infonce, infonce_symmetric, item_space, knn_item_space, mutual_knn, vector_norms, embedding_checksum, run_spread)
 }
 
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings)"
@@ -199,6 +250,21 @@ def _way(q: str, c: str) -> str:
     return f"SELECT qid, cid, round(sim, 4) AS sim, rank FROM (SELECT a.{q} AS qid, b.{c} AS cid, list_dot_product(a.{q}v, b.{c}v) AS sim, row_number() OVER (PARTITION BY a.{q} ORDER BY list_dot_product(a.{q}v, b.{c}v) DESC, b.{c}) AS rank FROM pr a JOIN pr b ON b.{c} <> a.{c} AND list_dot_product(a.{q}v, b.{c}v) < a.ceiling) WHERE rank <= 8"
 
 
+_CARDS = "c AS (SELECT id, vec, left(sha256('item||' || (id // 2)), 32) AS item, left(sha256('item||' || (id // 2 + 1)), 32) AS positive FROM v)"
+
+
+def _symmetric_sql() -> str:
+    rungs = ", ".join(f"({r})" for r in RUNGS)
+    unit = lambda x: f"list_transform(list_slice({x}, 1, d), lambda y: y / sqrt(list_dot_product(list_slice({x}, 1, d), list_slice({x}, 1, d))))"
+    entropy = lambda name, other: f"SELECT d, batch, id, ln(sum(exp(x - top))) + any_value(top) - any_value(own) AS l FROM (SELECT *, max(x) OVER (PARTITION BY d, id) AS top, max(CASE WHEN id = oid THEN x END) OVER (PARTITION BY d, id) AS own FROM {other}) GROUP BY d, batch, id"
+    return f"""WITH {_V}, {_P}, {_S}, {_MINED}, g(d) AS (VALUES {rungs}),
+ e AS (SELECT g.d, p.id, p.id // {BATCH} AS batch, {unit('p.vec')} AS a, {unit('w.vec')} AS b FROM p JOIN v w ON w.id = p.pid, g),
+ n AS (SELECT g.d, m.qid // {BATCH} AS batch, {unit('w.vec')} AS b FROM m JOIN v w ON w.id = m.cid, g WHERE m.rank = 1),
+ f AS (SELECT x.d, x.batch, x.id, y.id AS oid, list_dot_product(x.a, y.b) / 0.05 AS x FROM e x JOIN e y ON x.d = y.d AND x.batch = y.batch UNION ALL SELECT x.d, x.batch, x.id, NULL, list_dot_product(x.a, n.b) / 0.05 FROM e x JOIN n ON x.d = n.d AND x.batch = n.batch),
+ h AS (SELECT x.d, x.batch, x.id, y.id AS oid, list_dot_product(x.b, y.a) / 0.05 AS x FROM e x JOIN e y ON x.d = y.d AND x.batch = y.batch)
+ SELECT batch, count(DISTINCT id) AS pairs, round(avg(l), 3) AS loss FROM ({entropy('out', 'f')} UNION ALL {entropy('back', 'h')}) GROUP BY batch"""
+
+
 ORACLES = {
     "knn_topk": f"WITH {_V}, {_S} SELECT qid, cid, round(sim, 4) AS sim, rank FROM (SELECT *, {_RANK} AS rank FROM s WHERE qid <> cid) WHERE rank <= 8",
     "knn_single": f"WITH {_V}, {_S} SELECT qid, cid, round(sim, 4) AS sim FROM (SELECT *, {_RANK} AS rank FROM s WHERE qid <> cid) WHERE rank <= 4 AND ql <> cl QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) = 1",
@@ -208,10 +274,18 @@ ORACLES = {
     "knn_bidirectional": f"WITH {_V}, pr AS (SELECT a.id AS a, b.id AS b, a.vec AS av, b.vec AS bv, 0.95 * list_dot_product(a.vec, b.vec) AS ceiling FROM v a JOIN v b ON b.id = a.id + 1 WHERE a.id % 2 = 0) SELECT 'forward' AS way, * FROM ({_way('a', 'b')}) UNION ALL SELECT 'back' AS way, * FROM ({_way('b', 'a')})",
     "unique_space": "SELECT label, min(vec_id) AS first, count(*) AS cards FROM embeddings GROUP BY label",
     "near_dup_cross": f"WITH {_V} {_DUPS.format(LOW_THRESHOLD)}",
-    "near_dup_cross_default": f"WITH {_V} {_DUPS.format(0.95)}",
+    "near_dup_cross_default": f"WITH v0 AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings), v AS (SELECT * FROM v0 UNION ALL SELECT id + 1000000, list_concat([vec[1] + 0.01], vec[2:]), label + 1 FROM v0 WHERE id % 25 = 0) {_DUPS.format(0.95)}",
+    "near_dup_greedy": f"""WITH RECURSIVE {_V}, near AS (SELECT b.id, coalesce(list(a.id) FILTER (WHERE a.id IS NOT NULL), []) AS early FROM v b LEFT JOIN v a ON a.id < b.id AND list_dot_product(a.vec, b.vec) > {LOW_THRESHOLD} GROUP BY b.id),
+ o AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM near),
+ r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(o.early, r.kept) THEN r.kept ELSE list_append(r.kept, o.id) END FROM r JOIN o ON o.i = r.i + 1)
+ SELECT unnest(kept) AS id FROM (SELECT kept FROM r ORDER BY i DESC LIMIT 1)""",
+    "item_space": f"WITH {_V}, {_CARDS} SELECT item, min(id) AS first, count(*) AS cards FROM c GROUP BY item",
+    "knn_item_space": f"""WITH {_V}, {_CARDS}, i AS (SELECT item, min(id) AS first, arg_min(vec, id) AS vec FROM c GROUP BY item), q AS (SELECT c.id, c.vec, i.first AS own, 0.95 * list_dot_product(c.vec, i.vec) AS ceiling FROM c JOIN i ON i.item = c.positive)
+ SELECT id AS qid, item, round(sim, 4) AS sim, rank FROM (SELECT q.id, i.item, list_dot_product(q.vec, i.vec) AS sim, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.vec, i.vec) DESC, i.first) AS rank FROM q JOIN i ON i.first <> q.own AND list_dot_product(q.vec, i.vec) < q.ceiling) WHERE rank <= 8""",
+    "infonce_symmetric": _symmetric_sql(),
     "calibration": f"WITH {_V}, {_P} SELECT label, count(*) AS n, " + ", ".join(f"round(quantile_cont(pos, {q}), 4) AS {k}" for k, q in evaluate.QUANTILES.items()) + ", round(avg(pos), 4) AS mean, round(quantile_cont(pos, 0.5) * 0.95, 4) AS ceiling FROM p GROUP BY label",
     "decile_filter": f"WITH {_V}, {_P} SELECT id, p.label, round(pos, 4) AS pos FROM p JOIN (SELECT label, quantile_cont(pos, 0.1) AS b FROM p GROUP BY label) q ON p.label = q.label WHERE pos >= b",
-    "quartile_gate": f"WITH {_V}, {_P} SELECT id, round(pos, 4) AS pos FROM p WHERE pos >= -0.05",
+    "quartile_gate": f"WITH {_V}, {_P} SELECT id, round(pos, 4) AS pos FROM p WHERE pos >= (SELECT round(quantile_cont(pos, 0.25), 4) FROM p)",
     "neg_hist": f"WITH {_V}, {_P}, {_S}, {_MINED} SELECT k, count(*) AS queries FROM (SELECT p.id, count(m.cid) AS k FROM p LEFT JOIN m ON m.qid = p.id GROUP BY p.id) GROUP BY k",
     "recall_at_k": f"WITH {_V}, {_S} " + _recall_sql(f"SELECT *, {_RANK} AS rank FROM s WHERE qid <> cid", "ql = cl"),
     "recall_both_ways": f"WITH {_V}, e AS (SELECT id AS pair, vec FROM v WHERE id % 2 = 0), o AS (SELECT id - 1 AS pair, vec FROM v WHERE id % 2 = 1) "

@@ -33,6 +33,38 @@ def over_http(url: str, timeout: float = 120.0) -> Callable[[list[str]], list[li
     return call
 
 
+def embedded_or_parked(texts: DataFrame, call: Callable[[list[str]], list[list[float]]], batch: int = BATCH, tries: int = 2) -> DataFrame:
+    """The same, but a text that fails is parked and the others go on: id, vec, tries, problem. A batch that fails is asked again text by
+    text, each as often as `tries`; parked texts have a problem and no vec, and can be asked again later."""
+    import numpy as np
+
+    def asked(part: list[str]) -> tuple[list[list[float]] | None, str | None]:
+        try:
+            v = np.asarray(call(part), np.float32)
+            return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)).tolist(), None
+        except Exception as e:  # whatever a service says parks the text
+            return None, f"{type(e).__name__}: {e}"[:300]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                said = [t or "" for t in part.column("text").to_pylist()]
+                got, _ = asked(said)
+                rows = [(v, 1, None) for v in got] if got is not None else []
+                for text in said if got is None else ():
+                    for n in range(1, tries + 1):
+                        one, problem = asked([text])
+                        if one is not None or n == tries:
+                            rows.append((one[0] if one is not None else None, n + 1, problem))
+                            break
+                vec, count, problem = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(vec, pa.list_(pa.float32())), pa.array(count, pa.int32()), pa.array(problem, pa.string())], ["id", "vec", "tries", "problem"])
+
+    kind = dict(texts.dtypes)["id"]
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, vec array<float>, tries int, problem string")
+
+
 def embedded(texts: DataFrame, call: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> DataFrame:
     """texts (id, text): id, vec of unit length."""
     import numpy as np

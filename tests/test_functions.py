@@ -122,3 +122,36 @@ def test_entities(spark):
     assert column(spark, values, A.html_unescape("x")) == [None if v is None else html.unescape(v) for v in values]
     assert column(spark, values, A.html_escape("x")) == [None if v is None else html.escape(v) for v in values]
     assert json.dumps(column(spark, ["x"], A.token_cost(F.lit(10), F.lit(1), F.lit(1.5)))) == "[324]"
+
+
+def tone_file(rate, samples, channels=1, width=2):
+    scaled = np.repeat(np.round(samples * (2 ** (8 * width - 1) - 1)).astype(np.int64), channels)
+    raw = (scaled + 128).astype(np.uint8).tobytes() if width == 1 else b"".join(int(x).to_bytes(width, "little", signed=True) for x in scaled)
+    return A.wav_of(rate, channels, width, raw)
+
+
+@pytest.mark.parametrize(("rate", "channels", "width"), [(16000, 1, 2), (8000, 2, 2), (44100, 2, 3), (48000, 1, 4), (22050, 1, 1)])
+def test_audio_at_16k(rate, channels, width):
+    """A tone keeps its pitch and height; one above half the new rate goes."""
+    t = np.arange(rate // 2) / rate
+    tone, high = 0.5 * np.sin(2 * np.pi * 440 * t), 0.3 * np.sin(2 * np.pi * 10000 * t) * (rate > 32000)
+    got_rate, got_channels, got_width, pcm = A.pcm_of(A.wav_16k_of(tone_file(rate, tone + high, channels, width)))
+    got = np.frombuffer(pcm, "<i2") / 32767
+    want = 0.5 * np.sin(2 * np.pi * 440 * np.arange(len(got)) / 16000)
+    assert (got_rate, got_channels, got_width, len(got)) == (16000, 1, 2, 8000)
+    assert np.abs(got - want)[300:-300].max() < 0.02
+
+
+def test_broken_images():
+    import struct
+    import zlib
+
+    chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
+    head, body, end = chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)), chunk(b"IDAT", zlib.compress(bytes(20))), chunk(b"IEND", b"")
+    png = b"\x89PNG\r\n\x1a\n" + head + body + end
+    assert A.image_fault(png) is None and A.image_fault(png[:-1]) and A.image_fault(png[:8] + head + end) and A.image_fault(png[:50] + b"x" + png[51:])
+    assert A.image_fault(png[:8] + head + chunk(b"IDAT", zlib.compress(bytes(19))) + end) == "wrong size"
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xc0\0\4cd\xff\xda\0\4ef" + b"scan" + b"\xff\xd9"
+    assert A.image_fault(jpeg) is None and A.image_fault(jpeg[:-1]) and A.image_fault(jpeg[:12]) and A.image_fault(jpeg.replace(b"\xff\xc0", b"\xff\xc4")) == "no frame"
+    webp = b"RIFF" + struct.pack("<I", 8) + b"WEBPVP8 "
+    assert A.image_fault(webp) is None and A.image_fault(webp[:-1]) and A.image_fault(b"GIF89a" + bytes(10) + b";") is None and A.image_fault(b"GIF89a") and A.image_fault(b"text")

@@ -56,6 +56,48 @@ def test_first_passing(spark):
     assert sorted((r.k, r.o, r.taken) for r in got.collect()) == [("a", 0, False), ("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 9, False)]
 
 
+def test_substrings_by_force(spark):
+    """Items behind quotes and brackets, inside words, short ones, ones with breaks, and frequent openings."""
+    rng = np.random.default_rng(3)
+    words = ["alpha", "(beta", "gam", "gamma\"", "d", "eps,", "zeta🙂", "ä", "", "the"]
+    texts = [(i, "".join(str(rng.choice(words)) + str(rng.choice([" ", "\n", " ", "\t"])) for _ in range(rng.integers(0, 40)))) for i in range(150)] + [(900, None), (901, "")]
+    items = []
+    for i in range(120):
+        t = texts[int(rng.integers(0, 150))][1]
+        a = int(rng.integers(0, max(len(t), 1)))
+        items.append((i, t[a : a + int(rng.choice([1, 2, 5, 9, 20, 60]))]))
+    items += [(500, None), (501, ""), (502, "not there at all in any of them"), (503, "the the the"), (504, "🙂 ä")]
+    got = guards.holding(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", spark.createDataFrame(items, "item_id long, text string"), "item_id")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((d, i) for d, t in texts for i, x in items if t and x and x in t)
+
+
+def test_places_in_the_order(spark):
+    df = spark.createDataFrame([("a", i * i) for i in range(101)] + [("b", 5), (None, 7), (None, 3)], "k string, o int").repartition(5)
+    assert sorted((str(r.k), r.o) for r in sampling.first_middle_last(df, "k", "o").collect()) == [("None", 3), ("None", 7), ("a", 0), ("a", 2500), ("a", 10000), ("b", 5)]
+    assert [r.o for r in sampling.front_slice(df.where("k = 'a'"), "o", 3, 4).collect()] == [16, 25, 36]
+    got = evaluate.order_statistics(df.withColumn("v", F.col("o") * 0.5), "k", "v", {"m": 0.5, "top": 0.99}).collect()
+    assert sorted((str(r.k), r.m, r.top) for r in got) == [("None", 3.5, 3.5), ("a", 1250.0, 4900.5), ("b", 2.5, 2.5)]
+
+
+def test_symmetric_loss_by_force(spark):
+    rng = np.random.default_rng(4)
+    a, p, n = rng.normal(size=(12, 8)), rng.normal(size=(12, 8)), rng.normal(size=(5, 8))
+    pairs = spark.createDataFrame([(i // 6, i, a[i].tolist(), p[i].tolist()) for i in range(12)], "batch long, id long, anchor array<double>, positive array<double>")
+    negatives = spark.createDataFrame([(0, x.tolist()) for x in n], "batch long, vec array<double>")
+    got = {r.batch: r.loss for r in evaluate.symmetric_loss(pairs, negatives, (8, 4), 0.1).collect()}
+    for batch in (0, 1):
+        total = 0.0
+        for d in (8, 4):
+            unit = lambda v, d=d: v[:d] / np.linalg.norm(v[:d])
+            mine = range(6 * batch, 6 * batch + 6)
+            for i in mine:
+                extra = [unit(x) for x in n] if batch == 0 else []
+                out = np.array([unit(a[i]) @ unit(p[j]) for j in mine] + [unit(a[i]) @ x for x in extra]) / 0.1
+                back = np.array([unit(p[i]) @ unit(a[j]) for j in mine]) / 0.1
+                total += (np.log(np.exp(out).sum()) - out[i % 6] + np.log(np.exp(back).sum()) - back[i % 6]) / 2 / 6
+        assert got[batch] == pytest.approx(total / 2)
+
+
 def test_numbers_are_dense(spark):
     df = spark.range(1000).select((F.col("id") * F.col("id")).alias("o"), (F.col("id") % 3).cast("string").alias("k")).repartition(7)
     assert sorted(r.n for r in sampling.numbered(df, "o", "n").collect()) == list(range(1000))

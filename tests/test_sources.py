@@ -1,6 +1,7 @@
 import gzip
 import io
 import json
+import os
 import tarfile
 import zipfile
 
@@ -132,3 +133,35 @@ def test_log_with_corrections(spark):
     log = spark.createDataFrame([("a", 1, "error"), ("a", 2, "done"), ("b", 1, "error"), ("c", 1, "overlength"), ("d", 1, "done"), ("d", 2, "error")], "id string, at int, state string")
     work = spark.createDataFrame([(x,) for x in "abcde"], "id string")
     assert sorted(r.id for r in incremental.pending(work, log, "id").collect()) == ["b", "d", "e"]
+
+
+def test_parked_texts(spark):
+    def call(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("can't read this")
+        return [[float(len(t)), 0.0] for t in texts]
+
+    got = {r.id: r for r in services.embedded_or_parked(spark.createDataFrame([(1, "ab"), (2, "bad"), (3, "c"), (4, None)], "id long, text string").coalesce(1), call, 3).collect()}
+    assert got[1].vec == [1.0, 0.0] and got[2].vec is None and "can't read" in got[2].problem and got[2].tries == 3 and got[3].problem is None and got[4].vec == [0.0, 0.0]
+
+
+def test_tar_content_order_and_failed_writes(spark, tmp_path):
+    folder = str(tmp_path / "shards")
+    sample = lambda *kinds: json.dumps({"lane": "a", "anchor": {"content": [{"type": k} for k in kinds]}, "positive": {"content": []}}).encode()
+    write = lambda rows: spark.createDataFrame(rows, "shard string, key string, suffix string, data binary").coalesce(1).write.format("tar_samples").mode("append").option("path", folder).save()
+    write([("s0", "k0", "json", sample("image", "text")), ("s0", "k0", "bin", b"x" * 700), ("s0", "k1", "json", sample("text"))])
+    with open(folder + "/s0.tar.idx.json") as f:
+        index = json.load(f)
+    assert archives.sample_at(folder + "/s0.tar", index["samples"]["k0"]["members"])["bin"] == b"x" * 700 and index["lanes"] == {"a": ["k0", "k1"]}
+    with pytest.raises(Exception, match="images before text"):
+        write([("s1", "k2", "json", sample("text", "image"))])
+    assert sorted(os.listdir(folder)) == ["s0.tar", "s0.tar.idx.json"]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})()
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Session())
