@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,9 +16,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; one of our own only where the session names none, as in tests."""
+    """The folder that all machines share. Where the session names none, one of this machine's if it runs everything itself, as in
+    tests; on a cluster executors would write to their own disks, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="cardloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
