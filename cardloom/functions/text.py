@@ -9,13 +9,17 @@ from . import as_column
 
 #: Fixed value: the white space that Unicode-aware trimming and \s stand for, also where Java's \s is narrower.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+#: The same, written out, which is matched faster.
+_SPACES = r"\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space that are not one space already.
+_RUN = f"(?: [{_SPACES}]|[{_SPACES}&&[^ ]])[{_SPACES}]*+"
 QUERY_LENGTH, PASSAGE_LENGTH, NLI_LENGTH = (8, 600), (80, 1200), (8, 600)
 CUT_SHARE = 0.7
 
 
 def collapse(text: Column | str) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(as_column(text), SPACE + "+", " "))
+    return F.trim(F.regexp_replace(as_column(text), _RUN, " "))
 
 
 def clean(text: Column | str, low: int, high: int) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.functions.text import after, collapse
+from cardloom.functions.text import collapse
 
 #: The marker of an image in a query, and the phrases that stand before the text that counts.
 IMAGE_MARK = "<|image_1|>\n"
@@ -24,12 +24,22 @@ LABELED = r'labeled as "([^"]+)"'
 QUERY_IMAGE, POSITIVE_IMAGE = "qry_image_path", "pos_image_path"
 
 
-def _query() -> Column:
-    return collapse(F.replace("qry", F.lit(IMAGE_MARK), F.lit("")))
+#: Collapsed texts that the rules read, made once for each row, and the parsers that read them.
+BASES = {
+    "__query": (lambda: collapse(F.replace("qry", F.lit(IMAGE_MARK), F.lit(""))), ("text_to_image", "news", "question", "composed")),
+    "__asked": (lambda: collapse("qry"), ("dialog", "web_question")),
+    "__answer": (lambda: collapse("pos_text"), ("image_to_text", "question", "class", "web_question")),
+}
 
 
-def _whole(column: str) -> Column:
-    return collapse(F.coalesce(column, F.lit("")))
+def _with_bases(df: DataFrame, parser: Column) -> DataFrame:
+    return df.withColumns({name: F.when(parser.isin(*readers), made()) for name, (made, readers) in BASES.items()})
+
+
+def _tail(collapsed: Column, separator: str) -> Column:
+    """What follows the first separator of a collapsed text; null without one."""
+    at = F.instr(collapsed, separator)
+    return F.when(at > 0, F.trim(F.substring(collapsed, at + len(separator), F.length(collapsed))))
 
 
 @dataclass(frozen=True)
@@ -55,11 +65,14 @@ class Rule:
 
 
 def rules() -> dict[str, Rule]:
-    caption, label, question = _whole("pos_text"), _whole("pos_text"), after(_query(), QUESTION)
-    wanted = F.coalesce(F.nullif(after(_query(), CAPTION), F.lit("")), after(_query(), NEWS_CAPTION))
-    news, change = after(_query(), DOMAIN), after(_query(), CHANGES)
+    """Rules over the columns of BASES and the pair's own."""
+    query = F.col("__query")
+    caption = label = F.coalesce("__answer", F.lit(""))
+    question = _tail(query, QUESTION)
+    wanted = F.coalesce(F.nullif(_tail(query, CAPTION), F.lit("")), _tail(query, NEWS_CAPTION))
+    news, change = _tail(query, DOMAIN), _tail(query, CHANGES)
     named = collapse(F.nullif(F.regexp_extract("qry", LABELED, 1), F.lit("")))
-    dialog, asked, related = after(collapse("qry"), DIALOG), after(collapse("qry"), ANSWERS), after(collapse("pos_text"), RELATED)
+    dialog, asked, related = _tail(F.col("__asked"), DIALOG), _tail(F.col("__asked"), ANSWERS), _tail(F.col("__answer"), RELATED)
     image, target = Side("image", QUERY_IMAGE, None), Side("image", POSITIVE_IMAGE, None)
     return {
         "image_to_text": Rule(image, Side("text", None, caption), caption, ("text",), ((caption, 20, 600),)),
@@ -111,18 +124,33 @@ def _outcome(rule: Rule) -> tuple[Column, Column]:
 def parsed(df: DataFrame, parser: str) -> DataFrame:
     """Adds record and drop_reason (parse, length or null)."""
     reason, record = _outcome(rules()[parser])
-    return df.withColumn("drop_reason", reason).withColumn("record", F.when(F.col("drop_reason").isNull(), record))
+    read = _with_bases(df, F.lit(parser)).withColumn("drop_reason", reason)
+    return read.withColumn("record", F.when(F.col("drop_reason").isNull(), record)).drop(*BASES)
 
 
 def parsed_by(df: DataFrame, parser: str) -> DataFrame:
-    """The same for rows of several parsers, in one pass: the column names each row's."""
-    reasons, records = F.lit(None).cast("string"), None
+    """The same for rows of several parsers, in one pass: the column names each row's. A row's texts are made once, then judged."""
+    texts, reasons, records = None, F.lit(None).cast("string"), None
     for name, rule in rules().items():
-        reason, record = _outcome(rule)
-        mine = F.col(parser) == name
+        mine, made = F.col(parser) == name, []
+
+        def held(text: Column | None, made: list = made) -> Column | None:
+            if text is None:
+                return None
+            for i, known in enumerate(made):
+                if known is text:
+                    return F.get("__texts", F.lit(i))
+            made.append(text)
+            return F.get("__texts", F.lit(len(made) - 1))
+
+        side = lambda s, held=held: Side(s.kind, s.member, held(s.text))
+        after = Rule(side(rule.anchor), side(rule.positive), held(rule.anchor_text), rule.unique, tuple((held(t), low, high) for t, low, high in rule.lengths), held(rule.class_key))
+        reason, record = _outcome(after)
+        texts = F.when(mine, F.array(*made)) if texts is None else texts.when(mine, F.array(*made))
         reasons = F.when(mine, reason).otherwise(reasons)
         records = F.when(mine, record) if records is None else records.when(mine, record)
-    return df.withColumn("drop_reason", reasons).withColumn("record", F.when(F.col("drop_reason").isNull(), records))
+    read = _with_bases(df, F.col(parser)).withColumn("__texts", texts).withColumn("drop_reason", reasons)
+    return read.withColumn("record", F.when(F.col("drop_reason").isNull(), records)).drop("__texts", *BASES)
 
 
 def kinds(df: DataFrame) -> DataFrame:

@@ -24,14 +24,17 @@ def _key() -> Column:
 
 
 def ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Sample, clean, length, duplicates: what each step takes, by source. The first of each hash is found by an aggregate and joined by hash
-    and doc_id, so neither rows without a hash nor those of a frequent one meet in one task."""
+    """Sample, clean, length, duplicates: what each step takes, by source. Rows are counted by hash and source before they meet, and of
+    each hash one row for each source decides which has the first, so no hash, frequent or null, gathers its rows in one task."""
     rows = _docs(spark, d).select("doc_id", "source", T.clean("text", LOW, HIGH).alias("said"), sampling.sampled_below(_key(), 0.5).alias("drawn"))
     rows = rows.select("doc_id", "source", "drawn", F.col("said").isNull().alias("unfit"), F.when(F.col("drawn"), T.dedup_hash("said")).alias("hash"))
-    first = rows.where("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
-    joined = rows.join(first, ["hash", "doc_id"], "left")
-    reason = F.when(~F.col("drawn"), "not_sampled").when(F.col("unfit"), "length").when(F.col("hash").isNotNull() & F.col("first").isNull(), "duplicate")
-    return guards.drop_counts(joined.withColumn("drop_reason", reason), "source")
+    groups = rows.groupBy("source", "drawn", "unfit", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    kept = (F.col("hash").isNotNull() & (F.row_number().over(Window.partitionBy("hash").orderBy("first")) == 1)).cast("long")
+    said = lambda reason, n: F.struct(F.lit(reason).alias("drop_reason"), n.alias("n"))
+    parts = F.when(~F.col("drawn"), F.array(said("not_sampled", F.col("n")))).when(F.col("unfit"), F.array(said("length", F.col("n"))))
+    parts = parts.otherwise(F.array(said("kept", F.col("kept")), said("duplicate", F.col("n") - F.col("kept"))))
+    each = groups.withColumn("kept", kept).select("source", F.inline(parts)).where("n > 0")
+    return each.groupBy("source", "drop_reason").agg(F.sum("n").alias("n"))
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
