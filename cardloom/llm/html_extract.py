@@ -67,6 +67,10 @@ MARKERS = {
     "advert": r"\badvert|\bsponsored|\bpromoted|buy now|shop now|order now|special offer|\d ?% off", "comment": r"leave a (?:comment|reply)|\bcomments?\b|\brepl(?:y|ies)\b|posted by|\bsays:|\bwrote:",
     "furniture": r"skip to|back to top|next page|previous page|filed under|\btags:|\bmenu\b|table of contents|on this page",
 }
+#: One of these stands in all that the markers match, so most blocks need no search.
+HINTS = tuple(
+    "©|(c)|copyright|all rights|terms of|privacy|imprint|legal|cookie|subscribe|newsletter|sign|inbox|trial|log|password|account|share|tweet|follow|like us|related|most |you m|read |recommended|trending|advert|sponsored|promoted| now|offer|% off|comment|repl|posted|says:|wrote:|leave|skip to|back to| page|filed|tags:|menu|contents".split("|")
+)
 SAYS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in MARKERS.items()), re.I)
 
 
@@ -178,12 +182,18 @@ def kinds(seq: list[Item]) -> list[tuple[str, ...]]:
         if end < len(seq) and not (seq[end].text is None and seq[end].breaks and seq[end].tag not in SPACED):
             continue
         pieces = [it for it in seq[start:end] if it.text is not None]
-        n = sum(len(it.text.split()) for it in pieces)
+        n = links = 0
+        for it in pieces:
+            words = len(it.text.split())
+            n += words
+            links += words * it.linked
         if n:
-            links = sum(len(it.text.split()) for it in pieces if it.linked)
             kind = ["unlinked" if not links else "partly linked" if 2 * links <= n else "linked"]
             if n <= SHORT:
-                kind += sorted({f"says {k.lastgroup}" for k in SAYS.finditer(entities.unescape(" ".join(it.text for it in pieces)))})
+                said = entities.unescape(" ".join([it.text for it in pieces]))
+                low = said.lower()
+                if any(h in low for h in HINTS):
+                    kind += sorted({f"says {k.lastgroup}" for k in SAYS.finditer(said)})
             out[start:end] = [tuple(kind)] * (end - start)
         start = end
     return out

@@ -71,6 +71,12 @@ def test_table_of_the_driver():
         assert H.main_text(r["html"], W) == "\n\n".join(b for b in want if b), r["page_id"]
 
 
+def test_hints_cover_the_markers():
+    for said in re.split(r"\|", "© us|(c) 2020|copyright|all rights reserved|terms of use|terms of service|privacy policy|imprint|legal notice|we use cookies|cookie settings|subscribe|newsletter|sign up|signing up|your inbox|free trial|log in|login|sign in|password|create an account|your account|share this|tweet|follow us|like us|related posts|most read|you may also|you might|read more|recommended|trending|advert|sponsored|promoted|buy now|shop now|order now|special offer|20 % off|leave a comment|comments|reply|replies|posted by|says:|wrote:|skip to|back to top|next page|previous page|filed under|tags:|menu|table of contents|on this page"):
+        assert H.SAYS.search(said), said
+        assert any(h in said.lower() for h in H.HINTS), said
+
+
 @pytest.mark.parametrize("html", CASES)
 def test_cases(html):
     assert H.main_text(html, W) == CASES[html]
