@@ -73,9 +73,9 @@ def matches(rows: DataFrame, table: DataFrame) -> DataFrame:
     vocabulary = F.broadcast(table.select("token").distinct())  # as many rows as the templates have words at most
     hits = written(said.join(vocabulary, "token"), "license_hits")
 
-    often = hits.groupBy("token").agg(F.count("*").alias("often"))
+    often = written(hits.groupBy("token").agg(F.count("*").alias("often")), "license_counts")  # a row for each token of the templates at most
     rarest = Window.partitionBy("template").orderBy(F.coalesce("often", F.lit(0)), "token")
-    ranked = table.join(often, "token", "left").withColumn("rank", F.row_number().over(rarest))
+    ranked = table.join(often, "token", "left").coalesce(1).withColumn("rank", F.row_number().over(rarest))
     prefix = F.col("n") - F.col("need") + 1
     ranked = written(ranked.select("template", "label", "span", "n", "need", "musts", "token", "must", "rank", prefix.alias("prefix")), "license_tokens")
 
