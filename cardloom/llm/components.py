@@ -1,6 +1,7 @@
 """Connected components by alternating large-star and small-star steps, as DataFrame joins.
 
-Every round is written to the shared folder, so it cuts the lineage and a lost executor costs one task. A node with
+Every round is written to the shared folder, so it cuts the lineage and a lost executor costs one task; the round before is
+deleted then. A node with
 very many links is aggregated before the shuffle, and its rows are salted in the joins.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import discard, salted_join, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,4 +29,5 @@ def components(links: DataFrame) -> DataFrame:
         large = salted_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        stars = written(small, "stars")
+        stars, before = written(small, "stars"), stars
+        discard(before)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, written
+from .common import discard, partitions, slices, written
 from .components import components
 from .shingles import mix, set_hash, shingle_sets
 
@@ -269,6 +269,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         each = written(docs.mapInArrow(partial(_sets, seed=seed), "doc_id long, text_hash long, n long, cls long, needs array<int>"), "sets")
         if not each.where(F.exists("needs", lambda x: x == 0)).limit(1).count():
             break
+        discard(each)
     else:
         raise RuntimeError("no seed spreads all sets over enough segments")
     classes = each.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("needs").alias("needs"))
@@ -277,26 +278,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = written(shared, "shared")
 
     need = classes.select("cls", F.posexplode("needs").alias("rank", "need"))
-    rows = shared.join(need, ["cls", "rank"])
+    rows, held = shared.join(need, ["cls", "rank"]), shared
     count = None
     for _ in range(ROUNDS):
         rows = written(peeled(rows), "peeled")
+        discard(held)
+        held = rows
         before, count = count, rows.count()
         if not count or before is not None and count > 0.9 * before:
             break
     costly = Window.partitionBy("cls", "rank").orderBy(F.desc("often"), "key")
     probes = rows.where("asks").withColumn("place", F.row_number().over(costly)).where("place >= need")
     met = written(rows.join(probes.select("key").distinct(), "key").select("key", "cls"), "met")
+    discard(held)
     leader = met.groupBy("key").agg(F.min("cls").alias("a"))
     families = components(met.join(leader, "key").select("a", F.col("cls").alias("b")))
+    discard(met)
 
     member = families.join(classes.select("cls", "rep", "n"), families["node"] == F.col("cls"))
     placed = written(dealt_families(member.select("cls", "rep", "n", F.col("root").alias("family"))), "members")
     # a merge join at every size: the classes in families grow with the documents
     texts = docs.join(placed.hint("merge"), docs["doc_id"].eqNullSafe(F.col("rep"))).select("cls", "family", "at", "side", "text")
     found = written(texts.groupBy("family", "at").applyInArrow(_verify, "a long, b long"), "links")
+    discard(placed)
 
     roots = components(found)
+    discard(found)
     linked = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     lowest = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id", "root")
     return each.join(lowest, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "root")

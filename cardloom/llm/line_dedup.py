@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_join, slices, written
+from .common import discard, salted_join, slices, written
 from .shingles import mix
 
 BLOCK_WORDS = 20
@@ -239,7 +239,10 @@ def deletions(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("h"), pa.array(gone, pa.list_(pa.int32()))], ["k", "h", "gone"])
 
     lost = both.mapInArrow(align, "k long, h long, gone array<int>")
-    return lost.groupBy("k", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))  # at most a list for each line of the document
+    lost = lost.groupBy("k", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))  # at most a list for each line of the document
+    lost = written(lost, "deleted_lines")
+    discard(outline, pairs)
+    return lost
 
 
 COUNTS = ("lines_before", "lines_deleted")
@@ -247,7 +250,7 @@ COUNTS = ("lines_before", "lines_deleted")
 
 def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, names: tuple[str, str] = COUNTS) -> DataFrame:
     """The documents with new text, and how many lines each had and lost under the names; columns with these names are replaced."""
-    lost = written(deletions(docs.select("doc_id", "text"), block_words), "deleted_lines")
+    lost = deletions(docs.select("doc_id", "text"), block_words)
     keep = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("text", *names)]
     k, h = _place()
     d = docs.withColumns({"__k": k, "__h": h}).alias("d")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import discard, partitions, written
 
 SHARDS = 16
 KEY_BITS, FIRST_BITS, MORE_BITS = 60, 12, 5
@@ -165,6 +165,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
     cuts = boundaries(groups, shards)
+    discard(groups)
     number = F.lit(0)
     for c in cuts:
         number = number + (F.col("key") >= c).cast("int")
