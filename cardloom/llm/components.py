@@ -2,7 +2,8 @@
 
 Every round is written to the shared folder, so it cuts the lineage and a lost executor costs one task; the round before is
 deleted then. A node with
-very many links is aggregated before the shuffle, and its rows are salted in the joins.
+very many links is aggregated before the shuffle, and its rows are salted in the joins. These are merge joins at every size: Spark
+estimates the repeated rows of a salted join as if they stood once, and would send tables far above its limit through the driver.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         seen = mark
         both = stars.union(stars.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both, least.hint("merge"), "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+        small = salted_join(large, least.hint("merge"), "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
         stars, before = written(small, "stars"), stars
         discard(before)

@@ -18,7 +18,8 @@ than are needed to connect what it found.
 
 Hashes have 64 bits. Texts are read whole, in slices; null texts and texts without words link with nothing. Repeated
 rows are in one class. A class of copies of any size sends its keys once for each task that reads it. Only doc_id
-and text are read; an empty table gives an empty table. If a class has H or fewer segments with elements (odds below 1e-9),
+and text are read; an empty table gives an empty table. All joins are merge joins at every size: what they join grows with the
+documents, and a broadcast would take it through the driver. If a class has H or fewer segments with elements (odds below 1e-9),
 all keys are made with another seed.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, slices, written
+from .common import discard, partitions, salted_join, slices, written
 from .components import components
 from .shingles import mix, set_hash, shingle_sets
 
@@ -225,24 +226,23 @@ def peeled(rows: DataFrame) -> DataFrame:
     """rows (key, cls, rank, need): those of classes that may still have a partner, with `asks` and how often the key stands."""
     held = rows.groupBy("cls", "rank").agg(F.count("*").alias("held"), F.first("need").alias("least"))
     asking = held.where("held >= least").select("cls", "rank", F.lit(True).alias("asks"))
-    marked = rows.select("key", "cls", "rank", "need").join(asking, ["cls", "rank"], "left")
+    marked = rows.select("key", "cls", "rank", "need").join(asking.hint("merge"), ["cls", "rank"], "left")
     by_key = marked.groupBy("key").agg(F.count("*").alias("often"), F.min(F.when(F.col("asks"), F.col("need"))).alias("wanted")).where("often > 1 and wanted is not null")
-    kept = marked.join(by_key, "key")
+    kept = marked.join(by_key.hint("merge"), "key")
     able = kept.groupBy("cls", "rank").agg(F.count("*").alias("held"), F.first("need").alias("least"), F.min("wanted").alias("wanted"))
     able = able.where("held >= least or held >= wanted").select("cls", "rank", (F.col("held") >= F.col("least")).alias("still"))
-    return kept.join(able, ["cls", "rank"]).select("key", "cls", "rank", "need", "often", (F.coalesce("asks", F.lit(False)) & F.col("still")).alias("asks"))
+    return kept.join(able.hint("merge"), ["cls", "rank"]).select("key", "cls", "rank", "need", "often", (F.coalesce("asks", F.lit(False)) & F.col("still")).alias("asks"))
 
 
 def dealt_families(member: DataFrame) -> DataFrame:
     """member (cls, rep, n, family): cls, rep, family, and for each task that the class takes part in its name `at` and side."""
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
     cell = member.withColumn("step", step)
-    sizes = cell.groupBy("family", "step").agg(F.count("*").alias("many"))
-    whole = sizes.groupBy("family").agg(F.sum("many").alias("all"))
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    count = sizes.select("family", "step", blocks.alias("own"))
-    near = lambda by, name: count.select("family", (F.col("step") + by).alias("step"), F.col("own").alias(name))
-    known = cell.join(whole, "family").join(count, ["family", "step"]).join(near(-1, "above"), ["family", "step"], "left").join(near(1, "below"), ["family", "step"], "left")
+    sizes = cell.groupBy("family", "step").agg(F.count("*").alias("many")).withColumn("own", F.ceil(F.col("many") / BLOCK).cast("int"))
+    family = Window.partitionBy("family")  # a row for each size class of a family
+    near = lambda by: F.max("own").over(family.orderBy("step").rangeBetween(by, by))
+    count = sizes.select(F.struct("family", "step").alias("cell"), "own", F.sum("many").over(family).alias("all"), near(1).alias("above"), near(-1).alias("below"))
+    known = salted_join(cell.withColumn("cell", F.struct("family", "step")), count.hint("merge"), "cell", "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("own")).cast("int")
 
     def rows(others: str, low: Column, first: Column, second: Callable[[Column], tuple[Column, Column]], side: Callable[[Column], Column]) -> Column:
@@ -278,7 +278,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = written(shared, "shared")
 
     need = classes.select("cls", F.posexplode("needs").alias("rank", "need"))
-    rows, held = shared.join(need, ["cls", "rank"]), shared
+    rows, held = shared.join(need.hint("merge"), ["cls", "rank"]), shared
     count = None
     for _ in range(ROUNDS):
         rows = written(peeled(rows), "peeled")
@@ -289,21 +289,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             break
     costly = Window.partitionBy("cls", "rank").orderBy(F.desc("often"), "key")
     probes = rows.where("asks").withColumn("place", F.row_number().over(costly)).where("place >= need")
-    met = written(rows.join(probes.select("key").distinct(), "key").select("key", "cls"), "met")
+    met = written(rows.join(probes.select("key").distinct().hint("merge"), "key").select("key", "cls"), "met")
     discard(held)
     leader = met.groupBy("key").agg(F.min("cls").alias("a"))
-    families = components(met.join(leader, "key").select("a", F.col("cls").alias("b")))
+    families = components(met.join(leader.hint("merge"), "key").select("a", F.col("cls").alias("b")))
     discard(met)
 
-    member = families.join(classes.select("cls", "rep", "n"), families["node"] == F.col("cls"))
+    member = families.join(classes.select("cls", "rep", "n").hint("merge"), families["node"] == F.col("cls"))
     placed = written(dealt_families(member.select("cls", "rep", "n", F.col("root").alias("family"))), "members")
-    # a merge join at every size: the classes in families grow with the documents
     texts = docs.join(placed.hint("merge"), docs["doc_id"].eqNullSafe(F.col("rep"))).select("cls", "family", "at", "side", "text")
     found = written(texts.groupBy("family", "at").applyInArrow(_verify, "a long, b long"), "links")
     discard(placed)
 
     roots = components(found)
     discard(found)
-    linked = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    lowest = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id", "root")
-    return each.join(lowest, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "root")
+    linked = roots.join(classes.select("cls", "rep").hint("merge"), F.col("node") == F.col("cls")).select("cls", "rep", "root")
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = salted_join(linked, least.hint("merge"), "root", "cls").select("cls", "component_id", "root")
+    alone = classes.join(roots.hint("merge"), F.col("cls") == F.col("node"), "left_anti").select("cls", F.col("rep").alias("component_id"), F.col("cls").alias("root"))
+    lowest = linked.union(alone)
+    return each.join(lowest.hint("merge"), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "root")

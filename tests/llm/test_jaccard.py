@@ -133,3 +133,18 @@ def test_components_by_force(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert all(got.get(x, x) == root(x) for x in up) and all(root(x) == r for x, r in got.items())
     assert not components(spark.createDataFrame([], "a long, b long")).count()
+
+
+def test_no_join_goes_through_the_driver(spark):
+    """Tables that grow with the documents are not broadcast, however small these are."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    drained = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = lambda: {e.executionId(): e.physicalPlanDescription() for e in (found.apply(i) for found in [store.executionsList()] for i in range(found.size()))}
+    drained()
+    before = set(plans())
+    docs = families(random.Random(2), 10, [6, 20, 60])
+    J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    drained()
+    ran = [p for i, p in plans().items() if i not in before]
+    assert not [p for p in ran if "BroadcastExchange" in p]
+    assert sum("SortMergeJoin" in p for p in ran) > 5
