@@ -170,6 +170,6 @@ def checksum(df: DataFrame, vector: str) -> DataFrame:
 
 def neighbour_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two neighbour tables (qid, cid): the mean share of neighbours that they have in common."""
-    common = a.select("qid", "cid").join(b.select("qid", "cid"), ["qid", "cid"]).groupBy("qid").agg(F.count("*").alias("c"))
-    k = a.groupBy("qid").agg(F.count("*").alias("k"))
-    return k.join(common, "qid", "left").agg(F.round(F.avg(F.coalesce("c", F.lit(0)) / F.col("k")), 4).alias("overlap"))
+    both = a.select("qid", "cid").join(b.select("qid", "cid", F.lit(True).alias("common")), ["qid", "cid"], "left")  # a is read once
+    shares = both.groupBy("qid").agg((F.count("common") / F.count("*")).alias("share"))
+    return shares.agg(F.round(F.avg("share"), 4).alias("overlap"))
