@@ -21,7 +21,8 @@ def normalized(a: Column | str, floor: float = 0.0) -> Column:
     """Unit length; a norm below the floor counts as the floor."""
     a = as_column(a)
     length = F.greatest(norm(a), F.lit(floor)) if floor else norm(a)
-    return F.transform(a, lambda x: x.cast("double") / length)
+    lengths = F.array_repeat(length, F.size(a))  # once a vector: inside the lambda it would be computed for each number
+    return F.zip_with(a, lengths, lambda x, n: x.cast("double") / n)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
