@@ -6,8 +6,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cardloom.functions import vectors as V
 from cardloom.operators import cards, evaluate, guards, parsers, reports, sampling, shards, similarity, validate, views
 from cardloom.plans import cards as card_plans
+from cardloom.plans import vectors as vector_plans
 
 SF = "/root/testdata/sf0.01"
 
@@ -94,6 +96,20 @@ def test_top_k_takes_little_more_than_its_products():
     assert similarity._sides(600_000, 600_000, 12) == (15, 5) and similarity._sides(500, 500, 12) == (1, 1)
 
 
+def test_overlap_reads_its_tables_once(spark):
+    plan = vector_plans.mutual_knn(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+    a, b = (spark.createDataFrame(x, "qid int, cid int") for x in ([(1, 2), (1, 3), (2, 1)], [(1, 3), (1, 4), (3, 1)]))
+    assert evaluate.neighbour_overlap(a, b).first().overlap == 0.25
+
+
+def test_lengths_are_computed_once_a_vector(spark):
+    df = spark.createDataFrame([([3.0, 4.0, 9.0],), ([],), (None,)], "v array<float>").select(V.prefix("v", 2).alias("v"))
+    assert [r.v for r in df.collect()] == [[0.6, 0.8], [], None]
+    plan = spark.range(1).select(V.normalized(F.array("id")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert "array_repeat(SQRT(aggregate(" in plan
+
+
 def test_copies_dont_multiply(spark):
     """A candidate's copies: those with the smallest ids count."""
     q = spark.range(3).select(F.col("id").alias("qid"), F.array(F.lit(1.0), F.lit(0.5)).alias("vec"), F.col("id").alias("own"), F.lit(None).cast("double").alias("ceiling"))
